@@ -2,4 +2,20 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from ..streaming.changes import rebuilt
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt(spark, f"{sf_dir}/wal_records.parquet").select("document_id", "generation", "seq")
+
+
+def p4_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt(spark, f"{sf_dir}/wal_records.parquet").select("document_id", "title", "text")
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_current": p4_current,
+}

@@ -2,4 +2,18 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_LOG = """
+log AS (
+  SELECT *, upper(trim(kind)) IN ('DELETE', '1') AS deleted
+  FROM wal_records
+  WHERE document_id IS NOT NULL AND upper(trim(kind)) IN ('ADD', '0', 'DELETE', '1')),
+newest AS (
+  SELECT * FROM log
+  QUALIFY row_number() OVER (PARTITION BY document_id
+    ORDER BY generation DESC NULLS LAST, seq DESC NULLS LAST, deleted DESC, title DESC NULLS LAST, text DESC NULLS LAST) = 1)
+"""
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"WITH {_LOG} SELECT document_id, generation, seq FROM newest WHERE NOT deleted",
+    "p4_current": f"WITH {_LOG} SELECT document_id, coalesce(title, '') AS title, coalesce(text, '') AS text FROM newest WHERE NOT deleted",
+}

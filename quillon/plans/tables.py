@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,11 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 def local_path(path: str) -> str:
     """A file: URI or plain path as a plain path."""
     return os.path.normpath(path.removeprefix("file://").removeprefix("file:"))
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The same rows, as a compressed columnar table in the shared folder: for wide rows of which
+    later stages read different columns."""
+    path = shared_path(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
