@@ -10,7 +10,9 @@ from .distinctive import most_distinctive, term_scores
 from .frequency import marked_terms
 from .leak import leaked
 from .oneform import same_looking_pairs, unify
-from .packing import overlong, pack, token_sizes
+from .neardup import Likeness, groups, near_duplicates, near_pairs
+from .packing import pack, token_sizes
+from .wrapper import clean_markup
 
 
 def p1_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_term_counts(spark, sf_dir).where("mark IS NOT NULL").select("term", "mark")
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, whose host is their source, and articles, whose host is their dump."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("source").alias("host"), "text")
+    articles = table(spark, sf_dir, "articles").select(F.lit("article").alias("kind"), F.col("revision_id").alias("id"), F.lit("articles").alias("host"), "text")
+    return docs.unionByName(articles)
+
+
+def p2_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_markup(_records(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_clean_text(spark, sf_dir).where("pieces > 0").select("record_kind", "record_id").distinct()
+
+
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = term_scores(table(spark, sf_dir, "documents"), "doc_id", ["title", "text"])
     return scored.withColumn("score", F.round("score", 6))
@@ -38,6 +55,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(table(spark, sf_dir, "documents"), "doc_id", ["title", "text"])
 
 
+#: What a reworked copy is by the statement of the problem.
+REWORKED = Likeness(shingle=3, threshold=0.7, least_terms=40)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(near_duplicates(table(spark, sf_dir, "documents"), "doc_id", ["title", "text"], REWORKED), "doc_id")
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(near_duplicates(table(spark, sf_dir, "documents"), "doc_id", ["title", "text"]), "doc_id")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
@@ -55,10 +84,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_term_counts": p1_term_counts,
+    "p2_found": p2_found,
+    "p2_clean_text": p2_clean_text,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
