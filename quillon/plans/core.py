@@ -1,10 +1,254 @@
-"""Queries of the core operators."""
+"""Queries of the core operators, over whole tables.
+
+The index of a data folder is built by the first query that needs it and kept in the shared folder
+for the session, as an index is: built once, queried often.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.analysis import CJK, STOPWORDS, stem_column, tokens_column
+from ..operators import evaluate as ev
+from ..operators import rank as rk
+from ..operators.index import SearchIndex, blocks, build_index, derive_stopwords, documents, postings
+from ..operators.match import execute, match_any, match_phrase, parsed, query_cost
+from ..operators.present import snippets, suggest
+from ..operators.prune import rank_pruned as pruned
+from ..operators.prune import upper_bounds
 from ..streaming.changes import rebuilt
+from .tables import table
+
+_BUILT: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(table(spark, sf_dir, "documents"))
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _BUILT:
+        _BUILT[at] = build_index(_docs(spark, sf_dir))
+    return _BUILT[at]
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.clean_judgements(table(spark, sf_dir, "qrels"))
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judged queries, parsed."""
+    return parsed(_judged(spark, sf_dir).select("query").distinct())
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries as phrases."""
+    quoted = _judged(spark, sf_dir).select("query").distinct().withColumn("text", F.concat(F.lit('"'), "query", F.lit('"')))
+    return parsed(quoted, "query", "text")
+
+
+def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return docs.select("doc_id", tokens_column(F.concat_ws(" ", "title", "text")).alias("tokens"))
+
+
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _content(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("position", "token"))
+
+
+def token_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = _content(spark, sf_dir).join(langs, "doc_id").select("lang", F.explode("tokens").alias("token"))
+    counts = rows.groupBy("lang", "token").agg(F.count("*").alias("n"))
+    return counts.groupBy("lang").agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct_tokens"))
+
+
+def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(spark, sf_dir).where(~F.col("token").isin(sorted(STOPWORDS)))
+
+
+def cjk_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(spark, sf_dir).where(F.col("token").rlike(f"[{CJK}]")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(spark, sf_dir).select("token").distinct().select("token", stem_column(F.col("token")).alias("stem"))
+
+
+def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = postings(_docs(spark, sf_dir), fields=False)
+    return made.select("doc_id", F.explode("positions").alias("position"), "term")
+
+
+def all_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).postings.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).term_stats
+
+
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).doc_stats.select("doc_id", "length", "title_length")
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = index_of(spark, sf_dir)
+    return i.doc_stats.agg(F.count("*").alias("documents"), F.round(F.avg("length"), 6).alias("average_length"), F.round(F.avg("title_length"), 6).alias("average_title"), F.min("length").alias("shortest"))
+
+
+def common_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_stopwords(index_of(spark, sf_dir))
+
+
+def parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queries(spark, sf_dir)
+
+
+def match_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _queries(spark, sf_dir)
+    one = q.groupBy("query").agg(F.count("*").alias("n")).where("n = 1").select("query")
+    return match_any(index_of(spark, sf_dir), q.join(one, "query", "left_semi"))
+
+
+def match_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return execute(index_of(spark, sf_dir), _queries(spark, sf_dir))
+
+
+def match_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_phrase(index_of(spark, sf_dir), _phrases(spark, sf_dir))
+
+
+def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_cost(index_of(spark, sf_dir), _queries(spark, sf_dir))
+
+
+def _ranked(ranker: rk.Ranker) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return ranker.rank(index_of(spark, sf_dir), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+    return run
+
+
+rank_bm25 = _ranked(rk.Ranker("bm25"))
+
+
+def rank_permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = table(spark, sf_dir, "documents").where("lang = 'en' AND source <> 'atlas-core'").select("doc_id")
+    return rk.Ranker("bm25").rank(index_of(spark, sf_dir), _queries(spark, sf_dir), permit=allowed).withColumn("score", F.round("score", 6))
+
+
+def rank_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best, _ = pruned(index_of(spark, sf_dir), _queries(spark, sf_dir))
+    return best.withColumn("score", F.round("score", 6))
+
+
+def minimum_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rk.minimum_span(index_of(spark, sf_dir), _queries(spark, sf_dir))
+
+
+def bm25_upper_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upper_bounds(index_of(spark, sf_dir)).withColumn("bound", F.round("bound", 6))
+
+
+def postings_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(index_of(spark, sf_dir).postings)
+
+
+def document_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rk.document_vector(index_of(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+def cosine_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of documents judged best for the same query."""
+    best = _judged(spark, sf_dir).where("grade = 3")
+    pairs = best.select("query", F.col("doc_id").alias("doc_id_a")).join(best.select("query", F.col("doc_id").alias("doc_id_b")), "query").where("doc_id_a < doc_id_b")
+    return rk.cosine(rk.document_vector(index_of(spark, sf_dir)), pairs).withColumn("cosine", F.round("cosine", 6))
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bm25(spark, sf_dir)
+
+
+def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ev.precision_recall_at_k(_run(spark, sf_dir), _judged(spark, sf_dir))
+    return rows.select("query", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+def _measure(how) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return how(_run(spark, sf_dir), _judged(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+    return run
+
+
+def map_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ev.summary(_run(spark, sf_dir), _judged(spark, sf_dir))
+    return rows.select("queries", *[F.round(c, 6).alias(c) for c in ("map", "mrr", "ndcg", "precision")])
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For query terms the index lacks and for misspelt ones; ASCII terms, as SQL measures bytes."""
+    i = index_of(spark, sf_dir)
+    q = _queries(spark, sf_dir).select("term").distinct().where(F.length("term") == F.octet_length("term"))
+    wrong = q.where(F.length("term") > 3).select(F.concat(F.lit("x"), "term", F.lit("q")).alias("term"))
+    found = suggest_ascii(i, q.union(wrong))
+    return found
+
+
+def suggest_ascii(i: SearchIndex, unknown: DataFrame) -> DataFrame:
+    from dataclasses import replace
+
+    plain = replace(i, term_stats=i.term_stats.where(F.length("term") == F.octet_length("term")))
+    return suggest(plain, unknown)
+
+
+def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = snippets(rank_bm25(spark, sf_dir), index_of(spark, sf_dir))
+    marks = F.array_join(F.transform("highlights", lambda h: F.concat_ws("-", h["start"], h["end"])), ",")
+    return shown.select("query", "rank", "doc_id", "title", "passage", marks.alias("highlights"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "tokenize": tokenize,
+    "token_counts_by_lang": token_counts_by_lang,
+    "stopword_filter": stopword_filter,
+    "cjk_bigrams": cjk_bigrams,
+    "stem_vocabulary": stem_vocabulary,
+    "analyze": analyze,
+    "postings": all_postings,
+    "term_stats": term_stats,
+    "doc_lengths": doc_lengths,
+    "corpus_stats": corpus_stats,
+    "derive_stopwords": common_terms,
+    "parse_queries": parse_queries,
+    "match_word": match_word,
+    "match_any": match_free,
+    "match_phrase": match_quoted,
+    "query_cost": costs,
+    "rank_tfidf": _ranked(rk.Ranker("tfidf")),
+    "rank_bm25": rank_bm25,
+    "rank_bm25f": _ranked(rk.Ranker("bm25f")),
+    "rank_bm25_permit": rank_permitted,
+    "rank_bm25_proximity": _ranked(rk.Ranker("bm25", proximity=True)),
+    "rank_pruned": rank_pruned,
+    "minimum_span": minimum_span,
+    "bm25_upper_bounds": bm25_upper_bounds,
+    "postings_blocks": postings_blocks,
+    "document_vector": document_vector,
+    "cosine_judged": cosine_judged,
+    "precision_recall_at_k": precision_recall,
+    "average_precision": _measure(ev.average_precision),
+    "mrr": _measure(ev.reciprocal_rank),
+    "ndcg": _measure(ev.ndcg),
+    "map_summary": map_summary,
+    "suggest": suggestions,
+    "snippet": snippet,
+}
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +259,4 @@ def p4_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt(spark, f"{sf_dir}/wal_records.parquet").select("document_id", "title", "text")
 
 
-QUERIES = {
-    "p4_found": p4_found,
-    "p4_current": p4_current,
-}
+QUERIES |= {"p4_found": p4_found, "p4_current": p4_current}

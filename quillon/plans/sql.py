@@ -1,7 +1,175 @@
-"""SQL counterparts of the core queries."""
+"""SQL counterparts of the core queries: analysis, stemming, index and ranking in plain SQL."""
 
 from __future__ import annotations
 
+from ..functions.analysis import CJK, STOPWORDS
+from ..functions.stem import STEP2, STEP3, STEP4
+
+# -- stemming as a chain of SELECTs over (token, w) ----------------------------------------------
+
+_SHAPE = """list_reduce(list_concat([''], string_split(w, '')), lambda a, c: a ||
+  CASE WHEN c = '' THEN '' WHEN c IN ('a', 'e', 'i', 'o', 'u') OR (c = 'y' AND right(a, 1) = 'c') THEN 'v' ELSE 'c' END)"""
+
+
+def _left(what: str, n: int) -> str:
+    return f"left({what}, length(w) - {n})"
+
+
+def _ends(suffix: str) -> str:
+    return f"w LIKE '%{suffix}'"
+
+
+def _step(rules: list[tuple[str, str]], least: str) -> str:
+    cases = [f"WHEN {_ends(s)} THEN CASE WHEN regexp_matches({_left('sk', len(s))}, '{least}') THEN {_left('w', len(s))} || '{new}' ELSE w END" for s, new in rules]
+    return "CASE " + " ".join(cases) + " ELSE w END"
+
+
+_O = "(regexp_matches({k}, 'cvc$') AND right({b}, 1) NOT IN ('w', 'x', 'y'))"
+_M1, _M2 = "vc", "v+c+v+c"
+
+
+def _removed(n: int) -> str:
+    b, k = _left("w", n), _left("sk", n)
+    short = f"(regexp_matches({k}, '{_M1}') AND NOT regexp_matches({k}, '{_M2}') AND {_O.format(k=k, b=b)})"
+    return f"""CASE WHEN NOT contains({k}, 'v') THEN w
+      WHEN {b} LIKE '%at' OR {b} LIKE '%bl' OR {b} LIKE '%iz' THEN {b} || 'e'
+      WHEN length({b}) > 1 AND right({b}, 1) = left(right({b}, 2), 1) AND right({k}, 1) = 'c' AND right({b}, 1) NOT IN ('l', 's', 'z') THEN {_left('w', n + 1)}
+      WHEN {short} THEN {b} || 'e' ELSE {b} END"""
+
+
+def _fourth() -> str:
+    cases = []
+    for s in STEP4:
+        b = _left("w", len(s))
+        extra = f" AND right({b}, 1) IN ('s', 't')" if s == "ion" else ""
+        cases.append(f"WHEN {_ends(s)} THEN CASE WHEN regexp_matches({_left('sk', len(s))}, '{_M2}'){extra} THEN {b} ELSE w END")
+    return "CASE " + " ".join(cases) + " ELSE w END"
+
+
+def _chain(source: str) -> str:
+    """CTEs that end in stems(token, term) for source(token): distinct tokens."""
+    b1, k1 = _left("w", 1), _left("sk", 1)
+    steps = [
+        f"CASE WHEN {_ends('sses')} OR {_ends('ies')} THEN {_left('w', 2)} WHEN {_ends('s')} AND NOT {_ends('ss')} THEN {b1} ELSE w END",
+        f"CASE WHEN {_ends('eed')} THEN CASE WHEN regexp_matches({_left('sk', 3)}, '{_M1}') THEN {b1} ELSE w END WHEN {_ends('ed')} THEN {_removed(2)} WHEN {_ends('ing')} THEN {_removed(3)} ELSE w END",
+        f"CASE WHEN {_ends('y')} AND contains({k1}, 'v') THEN {b1} || 'i' ELSE w END",
+        _step(STEP2, _M1),
+        _step(STEP3, _M1),
+        _fourth(),
+        f"CASE WHEN {_ends('e')} AND (regexp_matches({k1}, '{_M2}') OR (regexp_matches({k1}, '{_M1}') AND NOT {_O.format(k=k1, b=b1)})) THEN {b1} ELSE w END",
+        f"CASE WHEN {_ends('ll')} AND regexp_matches(sk, '{_M2}') THEN {b1} ELSE w END",
+    ]
+    ctes = [f"st0 AS (SELECT DISTINCT token, token AS w FROM {source})"]
+    for i, expr in enumerate(steps):
+        ctes.append(f"sk{i} AS (SELECT token, w, {_SHAPE} AS sk FROM st{i} WHERE length(token) > 2 AND strlen(token) = length(token))")
+        ctes.append(f"st{i + 1} AS (SELECT token, {expr} AS w FROM sk{i})")
+    ctes.append(f"stems AS (SELECT s.token, coalesce(e.w, s.token) AS term FROM st0 s LEFT JOIN st{len(steps)} e USING (token))")
+    return ",\n".join(ctes)
+
+
+# -- tokens ---------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
+
+
+def tokens_of(content: str) -> str:
+    """A list of the tokens of an expression."""
+    pairs = f"CASE WHEN regexp_matches(p, '[{CJK}]') AND length(p) > 1 THEN list_transform(range(1, length(p)), lambda i: substr(p, i::INT, 2)) ELSE [p] END"
+    cut = f"CASE WHEN regexp_matches(t, '[{CJK}]') THEN flatten(list_transform(regexp_extract_all(t, '[{CJK}]+|[^{CJK}]+'), lambda p: {pairs})) ELSE [t] END"
+    return f"flatten(list_transform(regexp_extract_all(lower(nfc_normalize({content})), '[\\p{{L}}\\p{{N}}]+'), lambda t: {cut}))"
+
+
+_DOCS = "docs AS (SELECT doc_id, coalesce(title, '') AS title, coalesce(text, '') AS text, lang, source FROM documents)"
+_TEXTS = """texts AS (
+  SELECT doc_id, '' AS field, title || ' ' || text AS content FROM docs
+  UNION ALL SELECT doc_id, 'title', title FROM docs)"""
+_LISTS = f"lists AS (SELECT doc_id, field, {tokens_of('content')} AS ts FROM texts)"
+_TOKENS = "tokens AS (SELECT doc_id, field, unnest(range(len(ts)))::INT AS position, unnest(ts) AS token FROM lists)"
+
+# queries: the distinct judged ones
+_QUERIES = "queries AS (SELECT DISTINCT lower(trim(query)) AS query FROM qrels WHERE grade >= 0 AND query IS NOT NULL AND doc_id IS NOT NULL)"
+_QLISTS = f"qlists AS (SELECT query, {tokens_of('query')} AS ts FROM queries)"
+_QTOKENS = "qtokens AS (SELECT query, unnest(range(len(ts)))::INT AS off, unnest(ts) AS token FROM qlists)"
+
+ANALYSED = ",\n".join([
+    _DOCS, _TEXTS, _LISTS, _TOKENS, _QUERIES, _QLISTS, _QTOKENS,
+    "every AS (SELECT token FROM tokens UNION SELECT token FROM qtokens)",
+    _chain("every"),
+    f"occ AS (SELECT doc_id, field, position, term FROM tokens JOIN stems USING (token) WHERE token NOT IN ({_STOP}))",
+    f"q AS (SELECT query, off, term FROM qtokens JOIN stems USING (token) WHERE token NOT IN ({_STOP}))",
+    "post AS (SELECT term, field, doc_id, count(*) AS tf FROM occ GROUP BY ALL)",
+    "n AS (SELECT count(*) AS n FROM docs)",
+    "ts AS (SELECT term, field, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM post GROUP BY ALL)",
+    "len AS (SELECT d.doc_id, coalesce(sum(tf) FILTER (field = ''), 0)::BIGINT AS length, coalesce(sum(tf) FILTER (field = 'title'), 0)::BIGINT AS title_length FROM docs d LEFT JOIN post USING (doc_id) GROUP BY d.doc_id)",
+    "avgs AS (SELECT avg(length) AS a, avg(title_length) AS t, min(length) AS m FROM len)",
+    "idf AS (SELECT term, df, ln((SELECT n FROM n)::DOUBLE / df) AS classic, ln(1 + ((SELECT n FROM n) - df + 0.5) / (df + 0.5)) AS prob FROM ts WHERE field = '')",
+    "norm AS (SELECT doc_id, sqrt(sum((tf * classic) ** 2)) AS norm FROM post JOIN idf USING (term) WHERE field = '' GROUP BY doc_id)",
+])
+
+
+def _with(*more: str) -> str:
+    return "WITH " + ",\n".join([ANALYSED, *more]) + "\n"
+
+
+_TFIDF = [
+    "qc AS (SELECT query, term, count(*) AS c FROM q GROUP BY ALL)",
+    "qw0 AS (SELECT query, term, classic, c * classic AS w FROM qc JOIN idf USING (term))",
+    "qw AS (SELECT query, term, classic, w / sqrt(sum(w * w) OVER (PARTITION BY query)) AS w FROM qw0 QUALIFY sum(w * w) OVER (PARTITION BY query) > 0)",
+    "tfidf AS (SELECT query, doc_id, sum(qw.w * tf * classic) / any_value(norm) AS score FROM post JOIN qw USING (term) JOIN norm USING (doc_id) WHERE field = '' AND norm > 0 GROUP BY ALL HAVING score > 0)",
+]
+_SAT = "tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT a FROM avgs)))"
+_BM25 = [
+    "qd AS (SELECT DISTINCT query, term FROM q)",
+    f"bm25 AS (SELECT query, doc_id, sum(prob * {_SAT}) AS score FROM post JOIN qd USING (term) JOIN idf USING (term) JOIN len USING (doc_id) WHERE field = '' GROUP BY ALL HAVING score > 0)",
+]
+_BM25F = [
+    "qd AS (SELECT DISTINCT query, term FROM q)",
+    """parts AS (SELECT query, doc_id, term, prob, sum(CASE field WHEN '' THEN tf / (0.25 + 0.75 * length / (SELECT a FROM avgs))
+      ELSE 3.0 * tf / (0.25 + 0.75 * title_length / (SELECT t FROM avgs)) END) AS c
+      FROM post JOIN qd USING (term) JOIN idf USING (term) JOIN len USING (doc_id) GROUP BY ALL)""",
+    "bm25f AS (SELECT query, doc_id, sum(prob * c * 2.2 / (1.2 + c)) AS score FROM parts GROUP BY ALL HAVING score > 0)",
+]
+_SPAN = [
+    "qd2 AS (SELECT DISTINCT query, term FROM q)",
+    "kinds AS (SELECT query, count(*) AS n FROM qd2 GROUP BY query)",
+    "places AS (SELECT query, doc_id, term, position FROM occ JOIN qd2 USING (term) WHERE field = '')",
+    "whole AS (SELECT query, doc_id, n FROM places JOIN kinds USING (query) GROUP BY ALL HAVING count(DISTINCT term) = n)",
+    # for each start, the farthest of the next places of all terms
+    "starts AS (SELECT p.query, p.doc_id, n, p.position AS s FROM places p JOIN whole USING (query, doc_id))",
+    "nexts AS (SELECT s.query, s.doc_id, s.n, s.s, p.term, min(p.position) AS nx FROM starts s JOIN places p ON p.query = s.query AND p.doc_id = s.doc_id AND p.position >= s.s GROUP BY ALL)",
+    "spans AS (SELECT query, doc_id, n, min(w) AS span FROM (SELECT query, doc_id, n, max(nx) - s + 1 AS w FROM nexts GROUP BY query, doc_id, n, s HAVING count(*) = n) GROUP BY ALL)",
+]
+_PHRASE = [
+    "size AS (SELECT query, count(DISTINCT off) AS n FROM q GROUP BY query)",
+    "phrase AS (SELECT DISTINCT query, doc_id FROM (SELECT query, doc_id, position - off AS s, count(DISTINCT off) AS m FROM occ JOIN q USING (term) WHERE field = '' GROUP BY ALL) JOIN size USING (query) WHERE m = n)",
+]
+
+
+def _top(table: str, k: int = 10) -> str:
+    return f"""SELECT query, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score
+FROM {table} QUALIFY rank <= {k}"""
+
+
+_RUN = [*_BM25, "run AS (" + _top("bm25") + ")"]
+_QRELS = "rels AS (SELECT lower(trim(query)) AS query, doc_id, max(grade) AS grade FROM qrels WHERE grade >= 0 AND query IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL)"
+_EVAL = [
+    *_RUN,
+    _QRELS,
+    "hits AS (SELECT run.*, coalesce(grade, 0) AS grade, coalesce(grade > 0, false)::INT AS hit FROM run LEFT JOIN rels USING (query, doc_id))",
+    "rel AS (SELECT query, sum((grade > 0)::INT) AS relevant FROM rels GROUP BY query)",
+    "pr AS (SELECT rel.query, coalesce(sum(hit) / nullif(count(doc_id), 0), 0)::DOUBLE AS p, coalesce(sum(hit) / nullif(any_value(relevant), 0), 0)::DOUBLE AS r FROM rel LEFT JOIN hits USING (query) GROUP BY rel.query)",
+    "ap AS (SELECT rel.query, coalesce(sum(CASE WHEN hit = 1 THEN so_far / rank END) / nullif(any_value(relevant), 0), 0)::DOUBLE AS v FROM rel LEFT JOIN (SELECT *, sum(hit) OVER (PARTITION BY query ORDER BY rank) AS so_far FROM hits) USING (query) GROUP BY rel.query)",
+    "rr AS (SELECT rel.query, coalesce(1.0 / min(rank) FILTER (hit = 1), 0)::DOUBLE AS v FROM rel LEFT JOIN hits USING (query) GROUP BY rel.query)",
+    "gain AS (SELECT rel.query, coalesce(sum(grade / log2(rank + 1)), 0)::DOUBLE AS v FROM rel LEFT JOIN hits USING (query) GROUP BY rel.query)",
+    "ideal AS (SELECT query, sum(grade / log2(i + 1)) AS v FROM (SELECT query, grade, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc_id) AS i FROM rels) WHERE i <= 10 GROUP BY query)",
+    "nd AS (SELECT gain.query, CASE WHEN ideal.v > 0 THEN gain.v / ideal.v ELSE 0 END AS v FROM gain JOIN ideal USING (query))",
+]
+
+_SYN = """syn0 AS (
+  SELECT DISTINCT a.stem AS term, b.stem AS member FROM
+    (SELECT lower(trim(term)) AS t, lower(trim(member)) AS m FROM synonyms WHERE trim(term) <> '' AND trim(member) <> '') s
+    JOIN one a ON a.t = s.t JOIN one b ON b.t = s.m WHERE a.stem <> b.stem)"""
+
 _LOG = """
 log AS (
   SELECT *, upper(trim(kind)) IN ('DELETE', '1') AS deleted
@@ -16,4 +184,42 @@ newest AS (
 ORACLES: dict[str, str] = {
     "p4_found": f"WITH {_LOG} SELECT document_id, generation, seq FROM newest WHERE NOT deleted",
     "p4_current": f"WITH {_LOG} SELECT document_id, coalesce(title, '') AS title, coalesce(text, '') AS text FROM newest WHERE NOT deleted",
-}
+    "tokenize": _with() + "SELECT doc_id, position, token FROM tokens WHERE field = ''",
+    "token_counts_by_lang": _with() + "SELECT lang, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens FROM tokens JOIN docs USING (doc_id) WHERE field = '' GROUP BY lang",
+    "stopword_filter": _with() + f"SELECT doc_id, position, token FROM tokens WHERE field = '' AND token NOT IN ({_STOP})",
+    "cjk_bigrams": _with() + f"SELECT token, count(*) AS n FROM tokens WHERE field = '' AND regexp_matches(token, '[{CJK}]') GROUP BY token",
+    "stem_vocabulary": _with() + "SELECT DISTINCT token, term AS stem FROM stems WHERE token IN (SELECT token FROM tokens)",
+    "analyze": _with() + "SELECT doc_id, position, term FROM occ WHERE field = ''",
+    "postings": _with() + "SELECT term, field, doc_id, count(*)::INT AS tf, string_agg(position, ',' ORDER BY position) AS positions FROM occ GROUP BY ALL",
+    "term_stats": _with() + "SELECT term, field, df, cf, max_tf::INT AS max_tf FROM ts",
+    "doc_lengths": _with() + "SELECT doc_id, length, title_length FROM len",
+    "corpus_stats": _with() + "SELECT n AS documents, round(a, 6) AS average_length, round(t, 6) AS average_title, m AS shortest FROM n, avgs",
+    "derive_stopwords": _with() + "SELECT term, df FROM idf WHERE df >= 0.5 * (SELECT n FROM n)",
+    "parse_queries": _with() + "SELECT query, length(query) > 1 AND query LIKE '\"%\"' AS is_phrase, off, term FROM q",
+    "match_word": _with() + "SELECT DISTINCT query, doc_id FROM post JOIN q USING (term) WHERE field = '' AND query IN (SELECT query FROM q GROUP BY query HAVING count(*) = 1)",
+    "match_any": _with(*_PHRASE) + "SELECT DISTINCT query, doc_id FROM post JOIN q USING (term) WHERE field = '' AND NOT (length(query) > 1 AND query LIKE '\"%\"') UNION SELECT query, doc_id FROM phrase WHERE length(query) > 1 AND query LIKE '\"%\"'",
+    "match_phrase": _with(*_PHRASE) + "SELECT query, doc_id FROM phrase",
+    "query_cost": _with() + "SELECT query, count(*) AS terms, (SELECT coalesce(sum(df), 0)::BIGINT FROM idf WHERE term IN (SELECT term FROM q b WHERE b.query = a.query)) AS cost FROM q a GROUP BY query",
+    "rank_tfidf": _with(*_TFIDF) + _top("tfidf"),
+    "rank_bm25": _with(*_BM25) + _top("bm25"),
+    "rank_bm25f": _with(*_BM25F) + _top("bm25f"),
+    "rank_bm25_permit": _with(*_BM25, "allowed AS (SELECT bm25.* FROM bm25 JOIN docs USING (doc_id) WHERE lang = 'en' AND source <> 'atlas-core')") + _top("allowed"),
+    "rank_bm25_proximity": _with(*_BM25, *_SPAN, "near AS (SELECT query, doc_id, score * CASE WHEN span IS NULL OR k.n < 2 THEN 1 ELSE 1 + 0.3 * k.n / span END AS score FROM bm25 JOIN kinds k USING (query) LEFT JOIN spans USING (query, doc_id))") + _top("near"),
+    "rank_pruned": _with(*_BM25) + _top("bm25"),
+    "minimum_span": _with(*_SPAN) + "SELECT query, doc_id, span::INT AS span FROM spans",
+    "bm25_upper_bounds": _with() + "SELECT term, round(prob * max_tf * 2.2 / (max_tf + 1.2 * (0.25 + 0.75 * (SELECT m / a FROM avgs))), 6) AS bound FROM idf JOIN ts USING (term) WHERE field = ''",
+    "postings_blocks": _with() + "SELECT term, block_no, max(doc_id) AS last_document, count(*) AS document_count, max(tf)::INT AS max_tf FROM (SELECT term, doc_id, tf, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 128 AS block_no FROM post WHERE field = '') GROUP BY ALL",
+    "document_vector": _with() + "SELECT doc_id, term, round(CASE WHEN norm > 0 THEN tf * classic / norm ELSE 0 END, 6) AS weight FROM post JOIN idf USING (term) JOIN norm USING (doc_id) WHERE field = ''",
+    "cosine_judged": _with(_QRELS, "best AS (SELECT query, doc_id FROM rels WHERE grade = 3)", "pairs AS (SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM best x JOIN best y ON x.query = y.query AND x.doc_id < y.doc_id)",
+        "vec AS (SELECT doc_id, term, CASE WHEN norm > 0 THEN tf * classic / norm ELSE 0 END AS w FROM post JOIN idf USING (term) JOIN norm USING (doc_id) WHERE field = '')",
+        "dots AS (SELECT doc_id_a, doc_id_b, sum(x.w * y.w) AS d FROM pairs JOIN vec x ON x.doc_id = doc_id_a JOIN vec y ON y.doc_id = doc_id_b AND y.term = x.term GROUP BY ALL)")
+        + "SELECT doc_id_a, doc_id_b, round(coalesce(d, 0), 6) AS cosine FROM pairs LEFT JOIN dots USING (doc_id_a, doc_id_b)",
+    "precision_recall_at_k": _with(*_EVAL) + "SELECT query, round(p, 6) AS precision, round(r, 6) AS recall FROM pr",
+    "average_precision": _with(*_EVAL) + "SELECT query, round(v, 6) AS value FROM ap",
+    "mrr": _with(*_EVAL) + "SELECT query, round(v, 6) AS value FROM rr",
+    "ndcg": _with(*_EVAL) + "SELECT query, round(v, 6) AS value FROM nd",
+    "map_summary": _with(*_EVAL) + "SELECT count(*) AS queries, round(avg(ap.v), 6) AS map, round(avg(rr.v), 6) AS mrr, round(avg(nd.v), 6) AS ndcg, round(avg(p), 6) AS precision FROM ap JOIN rr USING (query) JOIN nd USING (query) JOIN pr USING (query)",
+    "suggest": _with("missing AS (SELECT DISTINCT term FROM q WHERE strlen(term) = length(term) AND term NOT IN (SELECT term FROM idf) UNION SELECT DISTINCT 'x' || term || 'q' FROM q WHERE strlen(term) = length(term) AND length(term) > 3)",
+        "near AS (SELECT m.term, i.term AS candidate, levenshtein(m.term, i.term) AS distance, df FROM missing m JOIN idf i ON abs(length(m.term) - length(i.term)) <= 2 AND strlen(i.term) = length(i.term) WHERE m.term NOT IN (SELECT term FROM idf))")
+        + "SELECT term, candidate, distance::INT AS distance, df FROM near WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, df DESC, candidate) <= 3",
+}
