@@ -12,6 +12,7 @@ from .leak import leaked
 from .oneform import same_looking_pairs, unify
 from .neardup import Likeness, groups, near_duplicates, near_pairs
 from .packing import pack, token_sizes
+from .reading import bands, reading_levels
 from .wrapper import clean_markup
 
 
@@ -81,6 +82,26 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
+def _levels(spark: SparkSession, sf_dir: str):
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"), "doc_id", "text")
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels, _ = _levels(spark, sf_dir)
+    return levels.select("doc_id", F.round("level", 4).alias("level"))
+
+
+def p9_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of the calibrated grades on sources held out of training."""
+    _, known = _levels(spark, sf_dir)
+    return spark.createDataFrame(known.folds, "fold int, documents int, mean_error double, correlation double")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels, _ = _levels(spark, sf_dir)
+    return bands(levels, "doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_term_counts": p1_term_counts,
@@ -95,4 +116,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
+    "p9_held_out": p9_held_out,
 }
