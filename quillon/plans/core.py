@@ -6,6 +6,7 @@ for the session, as an index is: built once, queried often.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,15 @@ from ..functions.analysis import CJK, STOPWORDS, stem_column, tokens_column
 from ..operators import evaluate as ev
 from ..operators import rank as rk
 from ..operators.index import SearchIndex, blocks, build_index, derive_stopwords, documents, postings
-from ..operators.match import execute, match_any, match_phrase, parsed, query_cost
+from ..operators.match import execute, expand, match_any, match_phrase, parsed, query_cost
 from ..operators.present import snippets, suggest
 from ..operators.prune import rank_pruned as pruned
 from ..operators.prune import upper_bounds
+from ..operators.store import SegmentStore
+from ..sources.pages import articles as of_articles
+from ..sources.small import synonym_table
 from ..streaming.changes import rebuilt
-from .tables import table
+from .tables import shared_path, table
 
 _BUILT: dict[tuple[str, str], SearchIndex] = {}
 
@@ -213,6 +217,51 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("query", "rank", "doc_id", "title", "passage", marks.alias("highlights"))
 
 
+def synonym_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text with every query term's synonyms."""
+    groups = synonym_table(table(spark, sf_dir, "synonyms"))
+    q = expand(_queries(spark, sf_dir).where("NOT is_phrase"), groups)
+    return match_any(index_of(spark, sf_dir), q)
+
+
+def synonym_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synonym_table(table(spark, sf_dir, "synonyms"))
+
+
+def _store(spark: SparkSession) -> SegmentStore:
+    return SegmentStore(spark, shared_path(spark, f"store-{uuid.uuid4().hex}"))
+
+
+def merge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as four segments, which merge into one: the same statistics as of one index."""
+    store, docs = _store(spark), _docs(spark, sf_dir)
+    for part in range(4):
+        store.upsert(docs.where(F.pmod("doc_id", F.lit(4)) == part))
+    return store.open().term_stats
+
+
+def directory_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segments, the second replacing documents of the first, and one language deleted."""
+    store, docs = _store(spark), _docs(spark, sf_dir)
+    store.upsert(docs.withColumn("text", F.concat(F.lit("stale "), "text")), merge=False)
+    store.upsert(docs, merge=False)
+    store.delete(table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id"), merge=False)
+    return store.open().term_stats.where("field = ''").select("term", "df")
+
+
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, with the current state of the change log written over them."""
+    store = _store(spark)
+    store.upsert(_docs(spark, sf_dir))
+    store.upsert(rebuilt(spark, f"{sf_dir}/wal_records.parquet").withColumnRenamed("document_id", "doc_id"))
+    return store.table("docs").select("doc_id", "title", "text")
+
+
+def dump_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of a dump: no redirects, no other name spaces, wikitext cleaned."""
+    return of_articles(table(spark, sf_dir, "articles"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize": tokenize,
     "token_counts_by_lang": token_counts_by_lang,
@@ -248,6 +297,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_summary": map_summary,
     "suggest": suggestions,
     "snippet": snippet,
+    "synonym_groups": synonym_groups,
+    "synonym_match": synonym_match,
+    "merge_segments": merge_segments,
+    "directory_df": directory_df,
+    "upsert_latest": upsert_latest,
+    "dump_articles": dump_articles,
 }
 
 

@@ -93,7 +93,8 @@ _QTOKENS = "qtokens AS (SELECT query, unnest(range(len(ts)))::INT AS off, unnest
 
 ANALYSED = ",\n".join([
     _DOCS, _TEXTS, _LISTS, _TOKENS, _QUERIES, _QLISTS, _QTOKENS,
-    "every AS (SELECT token FROM tokens UNION SELECT token FROM qtokens)",
+    f"sides AS (SELECT DISTINCT w, list_filter(ts, lambda t: t NOT IN ({_STOP})) AS ts FROM (SELECT w, {tokens_of('w')} AS ts FROM (SELECT term AS w FROM synonyms UNION SELECT member FROM synonyms) WHERE w IS NOT NULL))",
+    "every AS (SELECT token FROM tokens UNION SELECT token FROM qtokens UNION SELECT ts[1] FROM sides WHERE len(ts) = 1)",
     _chain("every"),
     f"occ AS (SELECT doc_id, field, position, term FROM tokens JOIN stems USING (token) WHERE token NOT IN ({_STOP}))",
     f"q AS (SELECT query, off, term FROM qtokens JOIN stems USING (token) WHERE token NOT IN ({_STOP}))",
@@ -165,10 +166,29 @@ _EVAL = [
     "nd AS (SELECT gain.query, CASE WHEN ideal.v > 0 THEN gain.v / ideal.v ELSE 0 END AS v FROM gain JOIN ideal USING (query))",
 ]
 
-_SYN = """syn0 AS (
-  SELECT DISTINCT a.stem AS term, b.stem AS member FROM
-    (SELECT lower(trim(term)) AS t, lower(trim(member)) AS m FROM synonyms WHERE trim(term) <> '' AND trim(member) <> '') s
-    JOIN one a ON a.t = s.t JOIN one b ON b.t = s.m WHERE a.stem <> b.stem)"""
+_SYN = [
+    "single AS (SELECT w, stems.term AS t FROM sides JOIN stems ON len(ts) = 1 AND token = ts[1])",
+    "edges AS (SELECT a.t AS x, b.t AS y FROM synonyms s JOIN single a ON a.w = s.term JOIN single b ON b.w = s.member WHERE a.t <> b.t)",
+    "reach AS (SELECT x AS term, y AS member FROM (SELECT x, y FROM edges UNION SELECT y, x FROM edges) UNION SELECT r.term, e.b FROM reach r JOIN (SELECT x AS a, y AS b FROM edges UNION SELECT y, x FROM edges) e ON e.a = r.member)",
+    "grp AS (SELECT DISTINCT term, member FROM reach WHERE term <> member)",
+]
+# the rules of a dump, and the character references that occur
+_CLEAN = [
+    ("<!--.*?-->", " ", "gs"), ("<ref[^>]*>.*?</ref>|<ref[^>]*/>", " ", "gs"), (r"\{\|.*?\|\}", " ", "gs"), *[(r"\{\{[^{}]*\}\}", " ", "g")] * 5,
+    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", "g"), (r"\[https?://\S+\s([^\]]*)\]", r"\1", "g"), (r"(?m)^=+\s*(.*?)\s*=+\s*$", r"\1", "g"),
+    ("<[^>]{0,200}>", " ", "g"), ("''{2,}", "", "g"),
+]
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _cleaned(column: str) -> str:
+    t = column
+    for pattern, new, flags in _CLEAN:
+        t = f"regexp_replace({t}, '{pattern}', '{new}', '{flags}')"
+    for name, char in (("nbsp", " "), ("ldquo", "“"), ("rdquo", "”"), ("#8217", "’"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        t = f"replace({t}, '&{name};', '{char}')"
+    return f"trim(regexp_replace({t}, '{_SPACE}', ' ', 'g'))"
+
 
 _LOG = """
 log AS (
@@ -219,6 +239,15 @@ ORACLES: dict[str, str] = {
     "mrr": _with(*_EVAL) + "SELECT query, round(v, 6) AS value FROM rr",
     "ndcg": _with(*_EVAL) + "SELECT query, round(v, 6) AS value FROM nd",
     "map_summary": _with(*_EVAL) + "SELECT count(*) AS queries, round(avg(ap.v), 6) AS map, round(avg(rr.v), 6) AS mrr, round(avg(nd.v), 6) AS ndcg, round(avg(p), 6) AS precision FROM ap JOIN rr USING (query) JOIN nd USING (query) JOIN pr USING (query)",
+    "synonym_groups": _with(*_SYN).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT term, member FROM grp",
+    "synonym_match": _with(*_SYN).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT DISTINCT query, doc_id FROM post JOIN (SELECT query, term FROM q UNION SELECT query, member FROM q JOIN grp USING (term)) USING (term) WHERE field = '' AND NOT (length(query) > 1 AND query LIKE '\"%\"')",
+    "merge_segments": _with() + "SELECT term, field, df, cf, max_tf::INT AS max_tf FROM ts",
+    "directory_df": _with() + "SELECT term, count(*) AS df FROM post JOIN docs USING (doc_id) WHERE field = '' AND lang IS DISTINCT FROM 'fr' GROUP BY term",
+    "upsert_latest": f"""WITH {_LOG}, cur AS (SELECT document_id AS doc_id, coalesce(title, '') AS title, coalesce(text, '') AS text FROM newest WHERE NOT deleted)
+      SELECT * FROM cur UNION ALL SELECT doc_id, coalesce(title, ''), coalesce(text, '') FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM cur)""",
+    "dump_articles": f"""SELECT DISTINCT revision_id, article_id, trim(coalesce(title, '')) AS title, {_cleaned('text')} AS text FROM articles
+      WHERE coalesce(ns, 0) = 0 AND redirect IS NULL AND text IS NOT NULL AND NOT regexp_matches(text, '(?i)#redirect') AND {_cleaned('text')} <> ''""",
     "suggest": _with("missing AS (SELECT DISTINCT term FROM q WHERE strlen(term) = length(term) AND term NOT IN (SELECT term FROM idf) UNION SELECT DISTINCT 'x' || term || 'q' FROM q WHERE strlen(term) = length(term) AND length(term) > 3)",
         "near AS (SELECT m.term, i.term AS candidate, levenshtein(m.term, i.term) AS distance, df FROM missing m JOIN idf i ON abs(length(m.term) - length(i.term)) <= 2 AND strlen(i.term) = length(i.term) WHERE m.term NOT IN (SELECT term FROM idf))")
         + "SELECT term, candidate, distance::INT AS distance, df FROM near WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, df DESC, candidate) <= 3",

@@ -84,6 +84,15 @@ def clean_wikitext(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(unescape(t), r"(?U)\s+", " "), r"^ | $", "")
 
 
+def articles(rows: DataFrame) -> DataFrame:
+    """``revision_id, article_id, title, text`` of the articles among dumped revisions (``ns``,
+    ``redirect``, ``text``), by the rules of a dump: the main name space or none, no redirects,
+    something left after cleaning. A revision delivered twice is one."""
+    kept = rows.where(F.coalesce(F.col("ns"), F.lit(0)) == 0).where(F.col("redirect").isNull() & F.col("text").isNotNull() & ~F.col("text").rlike("(?i)#redirect"))
+    cleaned = kept.select("revision_id", "article_id", F.regexp_replace(F.coalesce("title", F.lit("")), r"^\s+|\s+$", "").alias("title"), clean_wikitext(F.col("text")).alias("text"))
+    return cleaned.where("text != ''").distinct()
+
+
 def _escaped(text: Column) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "&", "&amp;")
     return F.regexp_replace(F.regexp_replace(t, "<", "&lt;"), ">", "&gt;")
