@@ -13,28 +13,22 @@ class CorpusFormatError(ValueError):
     """A page record has no id."""
 
 
-@F.pandas_udf("string")
-def _unescaped(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else html.unescape(v))
-
-
 def unescape(text: Column) -> Column:
     """Character references as characters; only text with an ampersand leaves the JVM."""
-    return F.when(text.contains("&"), _unescaped(F.when(text.contains("&"), text))).otherwise(text)
 
+    @F.pandas_udf("string")
+    def unescaped(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else html.unescape(v))
 
-def _records(spark: SparkSession, path: str, opening: str) -> DataFrame:
-    """``body`` of each closed page. Files are read in pieces that end with a closing tag, so no
-    file needs to fit in a row; a last piece without one is a page cut short, and dropped."""
-    ended = spark.read.option("lineSep", "</page>").text(path).select(F.col("value"), F.input_file_name().alias("file"))
-    # the separator is consumed: whether the last piece of a file was closed shows in its tail
-    pieces = ended.withColumn("body", F.regexp_extract("value", f"(?s){opening}(.*)$", 1)).where(F.col("value").rlike(f"(?s){opening}"))
-    return pieces.select("body", "file")
+    return F.when(text.contains("&"), unescaped(F.when(text.contains("&"), text))).otherwise(text)
 
 
-def _closed(spark: SparkSession, path: str, rows: DataFrame, needs: str) -> DataFrame:
-    """Pages cut short lack the tag that stands last in a page."""
-    return rows.where(F.col("body").contains(needs))
+def _records(spark: SparkSession, path: str, opening: str = "<page>") -> DataFrame:
+    """``body`` of each closed page. Files are read in pieces that begin after an opening tag, so no
+    file needs to fit in a row; what stands outside pages, and a last page cut short, are pieces
+    without a closing tag or behind one."""
+    pieces = spark.read.option("lineSep", opening).text(path).where(F.col("value").contains("</page>"))
+    return pieces.select(F.substring_index("value", "</page>", 1).alias("body"))
 
 
 def parse_pages(rows: DataFrame) -> DataFrame:
@@ -52,14 +46,14 @@ def parse_pages(rows: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A corpus: ``<page><id>1</id><title>T</title><text>X</text></page>`` records. What stands
     outside pages is ignored; a last page that is cut short is dropped."""
-    return parse_pages(_closed(spark, path, _records(spark, path, "<page>"), "</id>"))
+    return parse_pages(_records(spark, path))
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """The articles of an encyclopedia dump, plain, .gz or .bz2, as ``doc_id, title, text`` with
     cleaned text: no redirects, no other name spaces (a page without one is an article), none
     without id, text, or anything left after cleaning."""
-    rows = _records(spark, path, r"<page[^>]*>")
+    rows = _records(spark, path, "<page").select(F.regexp_replace("body", "^[^>]*>", "").alias("body"))
     body = F.col("body")
     rows = rows.where(~body.rlike(r"<redirect\b|(?i)#redirect"))
     rows = rows.where(F.regexp_extract(body, r"<ns>\s*(-?\d+)\s*</ns>", 1).isin("", "0"))

@@ -209,7 +209,8 @@ def test_vectors(spark, ranking):
 
 def test_snippets(spark, ranking):
     s = extract("Intro here. Apples are red. Pears are green. End.", "pears", width=2)
-    assert s.text == "Pears are green." and s.highlights == ((0, 5),)
+    assert s.text == "Apples are red. Pears are green." and s.highlights == ((16, 21),)
+    assert extract("One. Two pears. Three.", "pears", width=1).text == "Two pears."
     assert extract("nothing of it", "zebra").text == "nothing of it"
     assert extract("", "x").text == "" and extract("!!!", "x").text == "!!!"
     with pytest.raises(ValueError):

@@ -42,7 +42,7 @@ def test_dump(spark, tmp_path, kind):
 
 
 def test_wikitext(spark):
-    text = "<!-- c -->== Head ==\nA<ref name=x>r</ref> b<ref/> {| t |} [[T|label]] [http://x.y site] ''i'' &amp; <br> end"
+    text = "== Head ==\nA<!-- c --><ref name=x>r</ref> b<ref/> {| t |} [[T|label]] [http://x.y site] ''i'' &amp; <br> end"
     row = spark.createDataFrame([(text,)], "t string").select(clean_wikitext(F.col("t")).alias("c")).first()
     assert row["c"] == "Head A b label site i & end"
 
