@@ -168,13 +168,11 @@ def same_looking_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame
     never compared with each other and the work follows the result.
     """
     src = df.select(F.col(key).cast("long").alias("id"), *[F.col(c) for c in columns]).where(F.col("id").isNotNull())
+    # all columns in one pass: a record becomes a row for each of its values
     digests = unify(src, columns, digest=True)
-    long = None
-    for c in columns:
-        one = digests.select("id", F.lit(c).alias("field"), F.col(f"{c}_form").alias("form"), F.col(f"{c}_raw").alias("raw"), F.col(f"{c}_raw").isNotNull().alias("there"))
-        one = one.where(F.col("there") & (F.col("raw") != F.unhex(F.lit(EMPTY_MD5))))
-        long = one if long is None else long.unionByName(one)
-    long = long.drop("there")
+    values = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}_form").alias("form"), F.col(f"{c}_raw").alias("raw")) for c in columns])
+    long = digests.select("id", F.explode(values).alias("v")).select("id", "v.field", "v.form", "v.raw")
+    long = long.where(F.col("raw").isNotNull() & (F.col("raw") != F.unhex(F.lit(EMPTY_MD5))))
     strings = long.groupBy("field", "form", "raw").agg(F.lit(1).alias("one")).drop("one")
     mixed = strings.groupBy("field", "form").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     strings = strings.join(mixed, ["field", "form"], "left_semi")
