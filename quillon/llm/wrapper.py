@@ -181,7 +181,10 @@ def templates(read: DataFrame, block: int = BLOCK) -> DataFrame:
     pages = read.where("tags != ''").select("host", "page", "tags", "hashes").dropDuplicates(["host", "page"])
     held = pages.groupBy("host").count().withColumn("blocks", F.ceil(F.col("count") / block))
     salted = pages.join(held, "host").withColumn("block", F.pmod(F.xxhash64("page"), F.col("blocks")))
-    found = salted.select("host", "block", "tags", "hashes").groupBy("host", "block").applyInPandas(_induce, "host string, tag string, hash long, pages long")
+    # a number of its own keeps the blocks apart: their rows are small, their alignment is the work
+    width = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = salted.select("host", "block", "tags", "hashes").repartition(width, "host", "block")
+    found = spread.groupBy("host", "block").applyInPandas(_induce, "host string, tag string, hash long, pages long")
     total = found.groupBy("host", "tag", "hash").agg(F.sum("pages").alias("pages")).join(held.select("host", "count"), "host")
     fixed = total.where((F.col("tag") == "p") & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("count")))
     # at most 1 / LEAST_SHARE nodes for each paragraph of a page
