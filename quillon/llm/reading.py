@@ -8,6 +8,7 @@ error that is reported.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +41,6 @@ NUMBERED = frozenset("no nos vol vols p pp art para par jan feb mar apr jun jul
 ENDING = frozenset("etc al inc ltd co corp jr".split())
 
 _END = re.compile(r"([.!?…]+)([\"'”’»)\]]*)(?=\s|$)|([。！？]+)")
-_BEFORE = re.compile(r"[^\s(\[“\"'«]+$")
 _SUBORDINATE = frozenset(
     "although because whereas whereby which whose whenever insofar notwithstanding considering while if unless though "
     "since that quoique bien lorsque obwohl weil dass während aunque porque mientras".split()
@@ -55,8 +55,8 @@ def sentences(prose: str) -> list[str]:
     found, start = [], 0
     for m in _END.finditer(text):
         if m[1] and m[1][0] == "." and len(m[1]) == 1:
-            before = _BEFORE.search(text, max(start, m.start() - 40), m.start())
-            word = before[0] if before else ""
+            before = text[max(start, m.start() - 24) : m.start()]
+            word = before[before.rfind(" ") + 1 :].lstrip("([“\"'«")
             low = word.lower()
             after = text[m.end() : m.end() + 2].strip()
             if low in ABBREVIATIONS or (len(word) == 1 and word.isalpha() and word.isupper() and after):
@@ -85,6 +85,7 @@ def features(paragraphs: list[str]) -> tuple[int, float, float, list[float]]:
     overlaps: list[float] = []
     fresh: list[float] = []
     commas = signs = 0
+    foreign = False
     before: set[str] = set()
     for paragraph in paragraphs:
         for sentence in sentences(paragraph):
@@ -92,32 +93,38 @@ def features(paragraphs: list[str]) -> tuple[int, float, float, list[float]]:
             if not terms:
                 continue
             lengths.append(len(terms))
-            here = {t for t in terms if len(t) > 3}
-            if before and here:
-                overlaps.append(len(here & before) / len(here | before))
+            here = {t for t in set(terms) if len(t) > 3}
             if here:
-                fresh.append(sum(t not in counts for t in here) / len(here))
+                if before:
+                    shared = len(here & before)
+                    overlaps.append(shared / (len(here) + len(before) - shared))
+                fresh.append(len(here.difference(counts)) / len(here))
                 before = here
             counts.update(terms)
-            commas += sentence.count(",") + sentence.count("、") + sentence.count("，")
-            signs += sum(map(sentence.count, ";:()"))
+            commas += sentence.count(",")
+            if not sentence.isascii():
+                foreign = True
+                commas += sentence.count("、") + sentence.count("，")
+            signs += sentence.count(";") + sentence.count(":") + sentence.count("(") + sentence.count(")")
     n = sum(lengths)
     if not n:
         return 0, 0.0, 0.0, [0.0] * len(FEATURES)
-    chars = np.array([len(t) for t in counts])
-    weights = np.array([*counts.values()])
-    mean = float((chars * weights).sum() / n)
-    sd = float(np.sqrt(((chars - mean) ** 2 * weights).sum() / n))
-    per = np.array(lengths, dtype=float)
-    share = lambda mask: float(weights[mask].sum() / n)
+    chars = np.fromiter(map(len, counts), dtype=np.int64, count=len(counts))
+    weights = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    by_length = np.bincount(np.minimum(chars, 30), weights=weights, minlength=31) / n
+    mean = float(chars @ weights) / n
+    sd = max(0.0, float((chars * chars) @ weights) / n - mean * mean) ** 0.5
+    k = len(lengths)
+    per = n / k
+    spread = max(0.0, sum(x * x for x in lengths) / k - per * per) ** 0.5
     row = [
-        float(np.log(n)), float(per.mean()), float(per.std()), float(np.quantile(per, 0.9)), mean, sd, share(chars >= 7), share(chars >= 11),
-        share(chars <= 3), float(len(counts) / np.sqrt(n)), float((weights == 1).sum() / len(counts)), commas / len(per), signs / len(per),
-        sum(counts[t] for t in _SUBORDINATE) / n, sum(counts[t] for t in _PRONOUNS) / n, float(np.mean(overlaps)) if overlaps else 0.0,
-        float(np.mean(fresh)) if fresh else 0.0, n / max(1, len(paragraphs)), sum(w for t, w in counts.items() if t[0].isdigit()) / n,
-        sum(w for t, w in counts.items() if not t.isascii()) / n,
+        math.log(n), per, spread, float(sorted(lengths)[round(0.9 * (k - 1))]), mean, sd, float(by_length[7:].sum()), float(by_length[11:].sum()),
+        float(by_length[:4].sum()), len(counts) / n**0.5, int((weights == 1).sum()) / len(counts), commas / k, signs / k,
+        sum(map(counts.__getitem__, _SUBORDINATE)) / n, sum(map(counts.__getitem__, _PRONOUNS)) / n, sum(overlaps) / len(overlaps) if overlaps else 0.0,
+        sum(fresh) / len(fresh) if fresh else 0.0, n / max(1, len(paragraphs)), sum([w for t, w in counts.items() if t[0] <= "9"]) / n,
+        sum([w for t, w in counts.items() if not t.isascii()]) / n if foreign else 0.0,
     ]
-    return n, float(per.mean()), mean, row
+    return n, per, mean, row
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
