@@ -60,6 +60,11 @@ def _terms(values: tuple) -> list[str]:
     return words(one_form(" ".join(values)))
 
 
+def _name(shingles: np.ndarray) -> bytes:
+    """192 bits that tell sets of shingles apart."""
+    return np.array([shingles.sum(), np.bitwise_xor.reduce(mix(shingles)), len(shingles)], dtype=np.uint64).tobytes()
+
+
 def _signatures(columns: list[str], likeness: Likeness):
     functions = _functions(likeness)
     half, width = likeness.half, likeness.width
@@ -82,7 +87,7 @@ def _signatures(columns: list[str], likeness: Likeness):
                     key = mix(key + numbers)
                     ids.append(doc)
                     sizes.append(len(shingles))
-                    keys.append(np.array([shingles.sum(), np.bitwise_xor.reduce(mix(shingles)), len(shingles)], dtype=np.uint64).tobytes())
+                    keys.append(_name(shingles))
                     lefts.append(key[:half].view(np.int64))
                     rights.append((key[half:] >> np.uint64(48)).astype(np.uint16).view(np.int16))
                 yield pa.RecordBatch.from_pydict(
@@ -103,8 +108,9 @@ def _sets(columns: list[str], likeness: Likeness):
         hasher = TermHasher()
         for batch in batches:
             for part in parts(batch, *columns):
-                sets = [np.unique(shingle_hashes(hasher(_terms(v)), likeness.shingle)).view(np.int64) for v in zip(*(strings(part, c) for c in columns))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+                sets = [np.unique(shingle_hashes(hasher(_terms(v)), likeness.shingle)) for v in zip(*(strings(part, c) for c in columns))]
+                names = [_name(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "same", "shingles"])
 
     return run
 
@@ -123,16 +129,18 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], likeness: Liken
 
     Terms are those of the columns joined by a space, in one form and lower case. Null counts as
     empty; records with fewer terms than a shingle (or ``least_terms``) are in no class; rows with
-    a null key are left out; rows that repeat a key count once. An empty table gives empty results.
-    No other columns are read.
+    a null key are left out. A repeated row counts once, and of a key that occurs with several
+    contents one counts, always the same. An empty table gives empty results. No other columns are
+    read.
     """
     src = df.select(F.col(key).cast("long").alias("id"), *[F.col(c) for c in columns]).where(F.col("id").isNotNull())
     signed = cut(src.mapInArrow(_signatures(columns, likeness), "id long, size int, same binary, lefts array<long>, rights array<short>"))
-    classes = signed.groupBy("same").agg(F.min("id").alias("class"), F.first("size").alias("size"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights"))
-    classes = cut(classes)
-    members = signed.select("id", "same").join(classes.select("same", "class"), "same").select("id", "class").distinct()
+    one = signed.groupBy("id").agg(F.min("same").alias("same"))
+    named = one.groupBy("same").agg(F.min("id").alias("class"))
+    classes = cut(signed.groupBy("same").agg(F.first("size").alias("size"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights")).join(named, "same"))
+    members = one.join(classes.select("same", "class"), "same").select("id", "class")
     pairs = _candidates(classes.drop("same"), likeness)
-    return Near(members, _verified(src, columns, pairs, likeness))
+    return Near(members, _verified(src, columns, classes.select("class", "same"), pairs, likeness))
 
 
 def _candidates(classes: DataFrame, likeness: Likeness) -> DataFrame:
@@ -140,22 +148,25 @@ def _candidates(classes: DataFrame, likeness: Likeness) -> DataFrame:
     met = met.withColumn("n", F.count("*").over(Window.partitionBy("left"))).where("n > 1")
     # the partitioning by the left key also holds for the pair of keys
     keys = met.select("left", "class", "size", F.posexplode("rights").alias("j", "right"))
-    keys = keys.withColumn("n", F.count("*").over(Window.partitionBy("left", "j", "right"))).where("n > 1").drop("n")
-    other = keys.select("left", "j", "right", F.col("class").alias("b"), F.col("size").alias("size_b"))
-    both = keys.withColumnRenamed("class", "a").join(other, ["left", "j", "right"]).where("a < b")
+    keys = keys.withColumn("n", F.count("*").over(Window.partitionBy("left", "j", "right"))).where("n > 1")
+    # both sides alike but for their names, so that one exchange serves both
+    side = keys.select("left", "j", "right", "class", "size")
+    both = side.toDF("left", "j", "right", "a", "size_a").join(side.toDF("left", "j", "right", "b", "size_b"), ["left", "j", "right"]).where("a < b")
     # similarity is at most the ratio of the sizes
-    near = both.where(F.least("size", "size_b") >= F.greatest("size", "size_b") * F.lit(likeness.threshold - 1e-9))
+    near = both.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(likeness.threshold - 1e-9))
     return near.select("a", "b").distinct()
 
 
-def _verified(src: DataFrame, columns: list[str], pairs: DataFrame, likeness: Likeness) -> DataFrame:
+def _verified(src: DataFrame, columns: list[str], classes: DataFrame, pairs: DataFrame, likeness: Likeness) -> DataFrame:
     pairs = cut(pairs)
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = src.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = cut(texts.mapInArrow(_sets(columns, likeness), "id long, shingles array<long>"))
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    texts = src.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    sets = texts.mapInArrow(_sets(columns, likeness), "class long, same binary, shingles array<long>")
+    # of a key's contents the one its class has, once
+    sets = cut(sets.join(classes, ["class", "same"], "left_semi").dropDuplicates(["class", "same"]).drop("same"))
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("x", "y"))
     measured = joined.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total"))

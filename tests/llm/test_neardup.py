@@ -59,6 +59,15 @@ def test_pairs_and_groups(spark, monkeypatch, limit):
         assert of == root
 
 
+def test_a_key_of_several_contents_has_one(spark):
+    x, y = " ".join(f"x{i}" for i in range(20)), " ".join(f"y{i}" for i in range(20))
+    rows = [(1, x), (1, y), (1, y), (2, x), (3, y), (4, x), (5, y)]
+    near = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", ["text"], LIKE)
+    found = [tuple(r) for r in near_pairs(near, "doc_id").select("doc_id_a", "doc_id_b").collect()]
+    assert len(found) == len(set(found))
+    assert set(found) in ({(2, 4), (3, 5), (1, 2), (1, 4)}, {(2, 4), (3, 5), (1, 3), (1, 5)})
+
+
 def test_no_near_duplicates(spark):
     df = spark.createDataFrame([], "doc_id long, title string, text string")
     near = near_duplicates(df, "doc_id", ["title", "text"])
