@@ -5,17 +5,19 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
+import shutil
 import sys
 
 from pyspark.sql import SparkSession
 
 from . import __version__
 from .operators.match import QueryTooExpensive, execute, parse, parsed, refuse_expensive
-from .operators.metrics import timed_query
-from .operators.present import json_results, snippets, suggest, visible
+from .operators.metrics import REGISTRY, JsonLines, correlated, timed_query
+from .operators.present import cut_short, json_results, passage_lines, result_lines, snippets, suggest, visible
 from .operators.rank import Ranker
 from .operators.store import AnalyzerMismatch, ManifestFormatError, SegmentStore
-from .sources.pages import read_pages
+from .sources.pages import read_dump, read_pages, write_pages
 
 FOUND, NONE, BAD = 0, 1, 2
 
@@ -27,6 +29,10 @@ def parser() -> argparse.ArgumentParser:
     build = commands.add_parser("index", help="index a corpus of page records")
     build.add_argument("corpus")
     build.add_argument("output")
+    make = commands.add_parser("corpus", help="make a corpus from an encyclopedia dump")
+    make.add_argument("dump")
+    make.add_argument("output")
+    make.add_argument("--limit", type=int)
     find = commands.add_parser("search", help="search an index")
     find.add_argument("index")
     find.add_argument("query")
@@ -34,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--scorer", choices=("tfidf", "bm25", "bm25f"), default="tfidf")
     find.add_argument("--no-snippet", action="store_true")
     find.add_argument("--json", action="store_true")
+    find.add_argument("--log", action="store_true", help="JSON lines on stderr, without the query")
     return top
 
 
@@ -45,6 +52,12 @@ def index_corpus(spark: SparkSession, corpus: str, output: str) -> int:
     return FOUND
 
 
+def make_corpus(spark: SparkSession, dump: str, output: str, limit: int | None = None) -> int:
+    articles = read_dump(spark, dump)
+    print(f"{write_pages(articles if limit is None else articles.limit(limit), output)} articles -> {output}")
+    return FOUND
+
+
 def search(spark: SparkSession, path: str, text: str, limit: int = 10, scorer: str = "tfidf", snippet: bool = True, as_json: bool = False) -> int:
     index = SegmentStore(spark, path).open()
     refuse_expensive(index, text)
@@ -53,6 +66,7 @@ def search(spark: SparkSession, path: str, text: str, limit: int = 10, scorer: s
     shown = snippets(ranked, index).orderBy("rank")
     rows = shown.collect()  # at most limit
     if not rows:
+        REGISTRY.counter("query_zero_results_total", "Queries that found nothing.").increment()
         missing = sorted({t for t in parse(text).terms if not index.document_frequency(t)})
         for term in missing:
             near = [r["candidate"] for r in suggest(index, spark.createDataFrame([(term,)], "term string")).orderBy("distance", "candidate").collect()]
@@ -63,8 +77,14 @@ def search(spark: SparkSession, path: str, text: str, limit: int = 10, scorer: s
         for line in json_results(shown).collect():
             print(line["value"])
         return FOUND
+    if not snippet:
+        print("\n".join(result_lines(rows)))
+        return FOUND
+    columns = shutil.get_terminal_size().columns
     for r in rows:
-        print(f"{r['rank']:>3}. {r['score']:.4f}  document {r['doc_id']}" if not snippet else f"{r['rank']:>3}. {r['score']:.4f}  {visible(r['title']) or 'document ' + str(r['doc_id'])}\n     {visible(r['passage'])}")
+        print(f"{r['rank']:>3}. {r['score']:.4f}  {cut_short(visible(r['title']) or 'document ' + str(r['doc_id']), columns - 14)}")
+        marks = [(h["start"], h["end"]) for h in r["highlights"]]
+        print("\n".join(passage_lines(r["passage"], marks, columns, sys.stdout.isatty())))
     return FOUND
 
 
@@ -72,9 +92,17 @@ def main(arguments: list[str] | None = None) -> int:
     options = parser().parse_args(arguments)
     spark = SparkSession.builder.appName("quillon").getOrCreate()
     try:
-        with timed_query():
+        with correlated(), timed_query():
             if options.command == "index":
                 return index_corpus(spark, options.corpus, options.output)
+            if options.command == "corpus":
+                return make_corpus(spark, options.dump, options.output, options.limit)
+            if options.log:
+                handler = logging.StreamHandler()
+                handler.setFormatter(JsonLines(redact=True))
+                logging.getLogger("quillon").addHandler(handler)
+                logging.getLogger("quillon").setLevel(logging.INFO)
+                logging.getLogger("quillon").info("search", extra={"fields": {"query": options.query, "scorer": options.scorer, "limit": options.limit}})
             return search(spark, options.index, options.query, options.limit, options.scorer, not options.no_snippet, options.json)
     except (QueryTooExpensive, AnalyzerMismatch, ManifestFormatError, json.JSONDecodeError, OSError) as error:
         print(error, file=sys.stderr)

@@ -15,6 +15,8 @@ from .index import SearchIndex
 from .match import bounded, parse
 
 WIDTH, TOLERANCE = 40, 10
+# What a terminal takes as bold on and off.
+BOLD, RESET = "\x1b[1m", "\x1b[0m"
 _STOP = re.compile(r"[.!?]")
 _CONTROL = {i: " " for i in (*range(0x20), *range(0x7F, 0xA0))}
 
@@ -120,6 +122,30 @@ def visible(text: str) -> str:
     return text.translate(_CONTROL)
 
 
+def folded(text: str, room: int) -> list[tuple[int, int]]:
+    """Ranges of the lines of a text: as many words as fit, longer words cut."""
+    room = max(1, room)
+    return [m.span() for m in re.finditer(rf"\S.{{0,{room - 1}}}(?=\s|$)|\S{{1,{room}}}", text, re.S)]
+
+
+def cut_short(text: str, room: int) -> str:
+    return text if len(text) <= room else text[: max(0, room - 1)] + "…"
+
+
+def passage_lines(text: str, highlights, columns: int = 80, colour: bool = False, indent: str = "     ") -> list[str]:
+    """A passage for a terminal: folded, indented, its highlights bold if ``colour``."""
+    shown, lines = visible(text), []
+    for start, end in folded(shown, columns - len(indent)):
+        line, at = "", start
+        for a, b in highlights if colour else ():
+            a, b = max(a, start), min(b, end)
+            if a < b:
+                line += shown[at:a] + BOLD + shown[a:b] + RESET
+                at = b
+        lines.append(indent + line + shown[at:end])
+    return lines
+
+
 def result_lines(rows: list, limit: int | None = None) -> list[str]:
     """Ranked rows as plain lines."""
     return [f"{r['rank']:>3}. {r['score']:.4f}  document {r['doc_id']}" for r in rows[:limit]]
