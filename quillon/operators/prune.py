@@ -41,7 +41,7 @@ def rank_pruned(index: SearchIndex, q: DataFrame, k: int = 10, key: str = "query
     terms = cut(q.select(key, "term").distinct().join(stats, "term").select(key, "term", "df"))
     rare = F.row_number().over(Window.partitionBy(key).orderBy("df", "term"))
     first = terms.withColumn("r", rare).where("r = 1").select(key, "term")
-    post = cut(permitted(_numbered(index, terms.select("term", "df").distinct(), size), permit))
+    post = permitted(_numbered(index, terms.select("term", "df").distinct(), size), permit)
     # 1. threshold from the rarest term
     seed = post.join(bounded(first), "term").select(key, "doc_id")
     seeds = score_bm25(index, q, key, permit).join(seed, [key, "doc_id"], "left_semi")

@@ -24,13 +24,13 @@ from ..operators.store import SegmentStore
 from ..sources.pages import articles as of_articles
 from ..sources.small import synonym_table
 from ..streaming.changes import rebuilt
-from .tables import shared_path, table
+from .tables import cut, shared_path, spread, table
 
 _BUILT: dict[tuple[str, str], SearchIndex] = {}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(table(spark, sf_dir, "documents"))
+    return spread(documents(table(spark, sf_dir, "documents")))
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> SearchIndex:
@@ -45,14 +45,14 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The judged queries, parsed."""
-    return parsed(_judged(spark, sf_dir).select("query").distinct())
+    """The judged queries, parsed once."""
+    return cut(parsed(_judged(spark, sf_dir).select("query").distinct()))
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same queries as phrases."""
     quoted = _judged(spark, sf_dir).select("query").distinct().withColumn("text", F.concat(F.lit('"'), "query", F.lit('"')))
-    return parsed(quoted, "query", "text")
+    return cut(parsed(quoted, "query", "text"))
 
 
 def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
