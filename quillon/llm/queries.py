@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import table
+from ..plans.tables import spread, table
 from .distinctive import most_distinctive, term_scores
 from .frequency import marked_terms
 from .leak import leaked
@@ -16,8 +16,12 @@ from .reading import bands, reading_levels
 from .wrapper import clean_markup
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns))
+
+
 def p1_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked_terms(table(spark, sf_dir, "documents"), ["title", "text"])
+    return marked_terms(_documents(spark, sf_dir, "title", "text"), ["title", "text"])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, whose host is their source, and articles, whose host is their dump."""
     docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("source").alias("host"), "text")
     articles = table(spark, sf_dir, "articles").select(F.lit("article").alias("kind"), F.col("revision_id").alias("id"), F.lit("articles").alias("host"), "text")
-    return docs.unionByName(articles)
+    return spread(docs.unionByName(articles))
 
 
 def p2_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,20 +44,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = term_scores(table(spark, sf_dir, "documents"), "doc_id", ["title", "text"])
+    scored = term_scores(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"])
     return scored.withColumn("score", F.round("score", 6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return most_distinctive(table(spark, sf_dir, "documents"), "doc_id", ["title", "text"]).select("doc_id", "term")
+    return most_distinctive(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"]).select("doc_id", "term")
 
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unify(table(spark, sf_dir, "documents").select("doc_id", "title", "text"), ["title", "text"]).select("doc_id", "title_form", "text_form")
+    return unify(_documents(spark, sf_dir, "title", "text"), ["title", "text"]).select("doc_id", "title_form", "text_form")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return same_looking_pairs(table(spark, sf_dir, "documents"), "doc_id", ["title", "text"])
+    return same_looking_pairs(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"])
 
 
 #: What a reworked copy is by the statement of the problem.
@@ -61,29 +65,29 @@ REWORKED = Likeness(shingle=3, threshold=0.7, least_terms=40)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(near_duplicates(table(spark, sf_dir, "documents"), "doc_id", ["title", "text"], REWORKED), "doc_id")
+    return near_pairs(near_duplicates(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"], REWORKED), "doc_id")
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(near_duplicates(table(spark, sf_dir, "documents"), "doc_id", ["title", "text"]), "doc_id")
+    return groups(near_duplicates(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"]), "doc_id")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return pack(token_sizes(_documents(spark, sf_dir, "text"), "doc_id", "text"), "doc_id")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    packed = pack(token_sizes(_documents(spark, sf_dir, "text"), "doc_id", "text"), "doc_id")
     # only a text that exceeds a container has a second part
     return packed.where("part = 1").select("doc_id")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return leaked(_documents(spark, sf_dir, "text"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
 def _levels(spark: SparkSession, sf_dir: str):
-    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"), "doc_id", "text")
+    return reading_levels(_documents(spark, sf_dir, "text", "lang", "source"), table(spark, sf_dir, "reading_labels"), "doc_id", "text")
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
