@@ -40,13 +40,13 @@ def rank_pruned(index: SearchIndex, q: DataFrame, k: int = 10, key: str = "query
     stats = index.term_stats.where("field = ''").select("term", "df")
     terms = cut(q.select(key, "term").distinct().join(stats, "term").select(key, "term", "df"))
     rare = F.row_number().over(Window.partitionBy(key).orderBy("df", "term"))
-    first = terms.withColumn("r", rare).where("r = 1").select(key, "term")
+    first = cut(terms.withColumn("r", rare).where("r = 1").select(key, "term"))
     post = permitted(_numbered(index, terms.select("term", "df").distinct(), size), permit)
     # 1. threshold from the rarest term
     seed = post.join(bounded(first), "term").select(key, "doc_id")
     seeds = score_bm25(index, q, key, permit).join(seed, [key, "doc_id"], "left_semi")
     last = top_k(seeds, k, key).groupBy(key).agg(F.count("*").alias("n"), F.min("score").alias("s"))
-    threshold = last.select(key, F.when(F.col("n") >= k, F.col("s")).otherwise(0.0).alias("threshold"))
+    threshold = cut(last.select(key, F.when(F.col("n") >= k, F.col("s")).otherwise(0.0).alias("threshold")))
     # 2. bounds
     most = post.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.first("df").alias("df"))
     bound = bm25_idf(index.document_count, F.col("df")) * saturate(F.col("max_tf"), F.lit(index.shortest), index.average_length)
