@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import STOPWORDS, analyze_positioned
 from .index import SearchIndex
 
+# Limits of admission.
 MOST_TERMS = 32
 MOST_COST = 5_000_000
 #: Query terms that are broadcast (about 50 bytes each); more are joined in an exchange.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .index import SearchIndex
 from .match import bounded
 
+# Parameters of the formulas.
 K1, B = 1.2, 0.75
 PROXIMITY = 0.3
 FIELD_WEIGHTS = {"": 1.0, "title": 3.0}
