@@ -195,13 +195,16 @@ def map_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("queries", *[F.round(c, 6).alias(c) for c in ("map", "mrr", "ndcg", "precision")])
 
 
+def _asked(terms: DataFrame) -> DataFrame:
+    """Query terms, and misspelt ones made of them."""
+    return terms.union(terms.where(F.length("term") > 3).select(F.concat(F.lit("x"), "term", F.lit("q")).alias("term")))
+
+
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For query terms the index lacks and for misspelt ones; ASCII terms, as SQL measures bytes."""
-    i = index_of(spark, sf_dir)
+    """For query terms the index lacks and for misspelt ones; ASCII terms only, as its SQL measures
+    bytes. ``suggest_all`` is over all terms."""
     q = _queries(spark, sf_dir).select("term").distinct().where(F.length("term") == F.octet_length("term"))
-    wrong = q.where(F.length("term") > 3).select(F.concat(F.lit("x"), "term", F.lit("q")).alias("term"))
-    found = suggest_ascii(i, q.union(wrong))
-    return found
+    return suggest_ascii(index_of(spark, sf_dir), _asked(q))
 
 
 def suggest_ascii(i: SearchIndex, unknown: DataFrame) -> DataFrame:
@@ -211,6 +214,11 @@ def suggest_ascii(i: SearchIndex, unknown: DataFrame) -> DataFrame:
     return suggest(plain, unknown)
 
 
+def suggest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For all query terms the index lacks and for misspelt ones, of the whole vocabulary."""
+    return suggest(index_of(spark, sf_dir), _asked(_queries(spark, sf_dir).select("term").distinct()))
+
+
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = snippets(rank_bm25(spark, sf_dir), index_of(spark, sf_dir))
     marks = F.array_join(F.transform("highlights", lambda h: F.concat_ws("-", h["start"], h["end"])), ",")
@@ -296,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ndcg": _measure(ev.ndcg),
     "map_summary": map_summary,
     "suggest": suggestions,
+    "suggest_all": suggest_all,
     "snippet": snippet,
     "synonym_groups": synonym_groups,
     "synonym_match": synonym_match,

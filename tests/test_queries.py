@@ -56,3 +56,25 @@ def test_snippets_show_the_query(spark):
         for span in filter(None, r["highlights"].split(",")):
             a, b = map(int, span.split("-"))
             assert 0 <= a < b <= len(r["passage"])
+
+
+def test_suggestions_of_all_terms(spark, tmp_path):
+    """Against every term by ``edit_distance``, over terms of other letters."""
+    from quillon.operators.present import edit_distance
+    from quillon.plans.core import _queries, index_of
+
+    texts = ["café caffe cafés naïve", "наука наука науки", "cafe nave naive", "φως φωτα зима", "gaugе gauge", "caxy kafe"]
+    docs = [(i, f"t{i}", t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, title string, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(q, 0, 1) for q in ("cafè", "науке", "naïv", "φωσ", "gauge", "зимы", "日本")]
+    spark.createDataFrame(asked, "query string, doc_id long, grade int").write.parquet(f"{tmp_path}/qrels.parquet")
+    known = {r["term"]: r["df"] for r in index_of(spark, str(tmp_path)).term_stats.where("field = ''").collect()}
+    terms = {r["term"] for r in _queries(spark, str(tmp_path)).collect()}
+    terms |= {f"x{t}q" for t in terms if len(t) > 3}
+    expected = set()
+    for t in terms - set(known):
+        near = sorted((edit_distance(t, c), -n, c) for c, n in known.items())
+        expected |= {(t, c, d, -n) for d, n, c in [x for x in near if x[0] <= 2][:3]}
+    found = [tuple(r) for r in QUERIES["suggest_all"](spark, str(tmp_path)).select("term", "candidate", "distance", "df").collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert {("xgaugq", "gaugе"), ("науке", "наука"), ("cafè", "café")} <= {(t, c) for t, c, _, _ in found}
