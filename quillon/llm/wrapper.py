@@ -30,9 +30,9 @@ from .oneform import one_form
 
 #: Pages aligned with each other at once.
 BLOCK = 64
-#: A constant node is template from so many pages of a host on, and from this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.01
-#: Templates are broadcast up to this many nodes (about 100 bytes each), else joined by host.
+#: A constant node is template from so many pages of a host on, however many pages the host has.
+LEAST_PAGES = 5
+#: Templates are broadcast up to this many nodes (about 100 bytes each), else joined by host and page.
 BROADCAST_NODES = 100_000
 
 _GROUPED = {"li": "ul", "tr": "table"}
@@ -177,7 +177,7 @@ _READ = "kind string, id long, host string, pieces int, tags string, texts array
 
 
 def templates(read: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``host, template``: the hashes of the constant free paragraphs of each host that has any."""
+    """``host, hash``: the constant free paragraphs of each host that has any."""
     pages = read.where("tags != ''").select("host", "page", "tags", "hashes").dropDuplicates(["host", "page"])
     held = pages.groupBy("host").count().withColumn("blocks", F.ceil(F.col("count") / block))
     salted = pages.join(held, "host").withColumn("block", F.pmod(F.xxhash64("page"), F.col("blocks")))
@@ -185,10 +185,18 @@ def templates(read: DataFrame, block: int = BLOCK) -> DataFrame:
     width = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = salted.select("host", "block", "tags", "hashes").repartition(width, "host", "block")
     found = spread.groupBy("host", "block").applyInPandas(_induce, "host string, tag string, hash long, pages long")
-    total = found.groupBy("host", "tag", "hash").agg(F.sum("pages").alias("pages")).join(held.select("host", "count"), "host")
-    fixed = total.where((F.col("tag") == "p") & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("count")))
-    # at most 1 / LEAST_SHARE nodes for each paragraph of a page
-    return fixed.groupBy("host").agg(F.collect_set("hash").alias("template"))
+    total = found.groupBy("host", "tag", "hash").agg(F.sum("pages").alias("pages"))
+    return total.where((F.col("tag") == "p") & (F.col("pages") >= LEAST_PAGES)).select("host", "hash")
+
+
+def _templated(read: DataFrame, fixed: DataFrame, limit: int) -> DataFrame:
+    """The read rows with ``template``, those of their hashes that are in the template of their host."""
+    if fixed.limit(limit + 1).count() <= limit:
+        of_host = fixed.groupBy("host").agg(F.collect_set("hash").alias("template"))
+        return read.join(F.broadcast(of_host), "host", "left").withColumn("template", F.array_intersect("hashes", "template"))
+    pages = read.select("host", "page", "hashes").dropDuplicates(["host", "page"]).select("host", "page", F.explode("hashes").alias("hash"))
+    of_page = pages.join(fixed, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
+    return read.join(of_page, ["host", "page"], "left")
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +215,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def clean_markup(records: DataFrame, block: int = BLOCK) -> DataFrame:
+def clean_markup(records: DataFrame, block: int = BLOCK, limit: int = BROADCAST_NODES) -> DataFrame:
     """``record_kind, record_id, host, pieces, template_blocks, clean`` for each row of ``records``
     (``kind, id, host, text``).
 
@@ -218,6 +226,5 @@ def clean_markup(records: DataFrame, block: int = BLOCK) -> DataFrame:
     src = records.select(F.col("kind").cast("string").alias("kind"), F.col("id").cast("long").alias("id"), F.coalesce(F.col("host"), F.lit("")).alias("host"), F.col("text"))
     read = keep(src.mapInArrow(_read, _READ))
     fixed = keep(templates(read, block))
-    few = fixed.select(F.sum(F.size("template"))).first()[0] or 0
-    rows = read.drop("page").join(F.broadcast(fixed) if few <= BROADCAST_NODES else fixed, "host", "left")
+    rows = _templated(read, fixed, limit).drop("page")
     return rows.mapInArrow(_write, "record_kind string, record_id long, host string, pieces int, template_blocks int, clean string")

@@ -74,3 +74,14 @@ def test_template_is_left_out(spark):
     assert found[201]["clean"] == "" and found[202]["clean"] == "" and found[300]["clean"] == "copied"
     assert clean_markup(df).count() == len(rows)
     assert clean_markup(df.limit(0)).count() == 0
+
+
+def test_template_of_a_small_share(spark):
+    """Five pages make a template on a large host too, with templates broadcast or joined."""
+    rows = [("document", i, "h", f"text number {i}" + ("\n\nThis page is kept by h." if i < 5 else "\n\nKept by few." if i < 9 else "")) for i in range(600)]
+    df = spark.createDataFrame([*rows, rows[0], ("document", 600, "h", ""), ("document", 601, "g", "This page is kept by h.")], "kind string, id long, host string, text string")
+    for limit in (100, 0):
+        found = {r["record_id"]: r for r in clean_markup(df, block=1000, limit=limit).collect()}
+        assert [found[i]["clean"] for i in (0, 4, 9)] == ["text number 0", "text number 4", "text number 9"]
+        assert found[5]["clean"] == "text number 5\n\nKept by few." and found[601]["clean"] == "This page is kept by h."
+        assert sum(r["template_blocks"] for r in found.values()) == 5 and len(found) == 602
