@@ -7,13 +7,15 @@ template; nodes whose text varies are slots and hold the content. Constant parag
 free (licence lines, footers, navigation) are left out of the clean text; constant headings, items
 and table heads label the slots and stay.
 
-A host may have any number of pages: pages are aligned in blocks of bounded size, whose constant
-nodes are then counted over all blocks of the host. Pages of equal trees count once, so copies do
-not make their content a template.
+A host may have any number of pages: pages are aligned in blocks of bounded size. The pages that
+hold a text are then counted over all blocks of the host, also where a block has it once; a text
+that blocks have several times is constant if any of them has it at the same node of two pages.
+Pages of equal trees count once, so copies do not make their content a template.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,22 +121,27 @@ def fold(template: list[Node], page: list[Node]) -> list[Node]:
     return out
 
 
-def constants(nodes: list[Node]) -> Iterator[tuple[str, int, int]]:
-    """Tag, text and pages of the texts that more than one page has at the same node."""
+def aligned(nodes: list[Node]) -> dict[int, int]:
+    """The texts of free paragraphs, and on how many pages the node has each that has it most."""
+    most: dict[int, int] = {}
     for node in nodes:
-        for text, n in node.texts.items():
-            if n > 1:
-                yield node.tag, text, n
-        yield from constants(node.children)
+        if node.tag == "p":
+            for text, n in node.texts.items():
+                most[text] = max(n, most.get(text, 0))
+    return most
 
 
 def _induce(pages: pd.DataFrame) -> pd.DataFrame:
     template: list[Node] = []
+    held: Counter[int] = Counter()
     for tags, texts in zip(pages["tags"], pages["hashes"]):
-        template = fold(template, tree(tags.split(" "), list(texts)))
+        page = tree(tags.split(" "), list(texts))
+        held.update({text for node in page if node.tag == "p" for text in node.texts})
+        template = fold(template, page)
     host = pages["host"].iloc[0]
-    rows = [(host, tag, text, n) for tag, text, n in constants(template)]
-    return pd.DataFrame(rows, columns=["host", "tag", "hash", "pages"]).astype({"hash": "int64", "pages": "int64"})
+    # of several pages that hold a text, no two at the same node: it is content that recurs
+    rows = [(host, text, held[text], n > 1, held[text] > 1) for text, n in aligned(template).items()]
+    return pd.DataFrame(rows, columns=["host", "hash", "pages", "constant", "several"]).astype({"hash": "int64", "pages": "int64", "constant": "bool", "several": "bool"})
 
 
 def _hash(tag: str, text: str) -> int:
@@ -184,9 +191,9 @@ def templates(read: DataFrame, block: int = BLOCK) -> DataFrame:
     # a number of its own keeps the blocks apart: their rows are small, their alignment is the work
     width = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = salted.select("host", "block", "tags", "hashes").repartition(width, "host", "block")
-    found = spread.groupBy("host", "block").applyInPandas(_induce, "host string, tag string, hash long, pages long")
-    total = found.groupBy("host", "tag", "hash").agg(F.sum("pages").alias("pages"))
-    return total.where((F.col("tag") == "p") & (F.col("pages") >= LEAST_PAGES)).select("host", "hash")
+    found = spread.groupBy("host", "block").applyInPandas(_induce, "host string, hash long, pages long, constant boolean, several boolean")
+    total = found.groupBy("host", "hash").agg(F.sum("pages").alias("pages"), F.max("constant").alias("constant"), F.max("several").alias("several"))
+    return total.where((F.col("pages") >= LEAST_PAGES) & (F.col("constant") | ~F.col("several"))).select("host", "hash")
 
 
 def _templated(read: DataFrame, fixed: DataFrame, limit: int) -> DataFrame:

@@ -85,3 +85,14 @@ def test_template_of_a_small_share(spark):
         assert [found[i]["clean"] for i in (0, 4, 9)] == ["text number 0", "text number 4", "text number 9"]
         assert found[5]["clean"] == "text number 5\n\nKept by few." and found[601]["clean"] == "This page is kept by h."
         assert sum(r["template_blocks"] for r in found.values()) == 5 and len(found) == 602
+
+
+def test_template_over_blocks(spark):
+    """Pages are counted exactly, also where no block has a text twice, or has it twice a page."""
+    rows = [("document", i, "h", f"text number {i}" + ("\n\nKept by h." if i < 6 else "\n\nKept by few.\n\nKept by few." if i < 10 else "")) for i in range(40)]
+    df = spark.createDataFrame(rows, "kind string, id long, host string, text string")
+    for block in (1, 8, 64):
+        found = {r["record_id"]: r for r in clean_markup(df, block=block).collect()}
+        assert [found[i]["clean"] for i in range(6)] == [f"text number {i}" for i in range(6)]
+        assert found[6]["clean"] == "text number 6\n\nKept by few.\n\nKept by few."
+        assert sum(r["template_blocks"] for r in found.values()) == 6
