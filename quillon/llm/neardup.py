@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +76,15 @@ def _signatures(columns: list[str], likeness: Likeness):
             for part in parts(batch, *columns):
                 ids, sizes, keys, lefts, rights = [], [], [], [], []
                 for doc, *values in zip(part.column("id").to_pylist(), *(strings(part, c) for c in columns)):
-                    terms = hasher(_terms(tuple(values)))
-                    if len(terms) < max(likeness.least_terms, likeness.shingle):
+                    own = _terms(tuple(values))
+                    if len(own) < max(likeness.least_terms, likeness.shingle):
+                        ids.append(doc)
+                        sizes.append(0)
+                        keys.append(xxhash.xxh3_128_digest(" ".join(own)) if own else None)
+                        lefts.append(None)
+                        rights.append(None)
                         continue
-                    shingles = np.unique(shingle_hashes(terms, likeness.shingle))
+                    shingles = np.unique(shingle_hashes(hasher(own), likeness.shingle))
                     low = minhashes(shingles, functions).reshape(2 * half, width)
                     key = low[:, 0].copy()
                     for i in range(1, width):
@@ -118,29 +124,35 @@ def _sets(columns: list[str], likeness: Likeness):
 @dataclass(frozen=True)
 class Near:
     """``members``: id, class (the smallest id of equal sets). ``links``: a, b, similarity between
-    classes, a < b."""
+    classes, a < b. ``short``: id, class (the smallest id of equal runs of terms) of the records
+    with too few terms to be compared; those without any are classes of their own."""
 
     members: DataFrame
     links: DataFrame
+    short: DataFrame
 
 
 def near_duplicates(df: DataFrame, key: str, columns: list[str], likeness: Likeness = Likeness()) -> Near:
     """Classes of equal records and the links between classes that are similar enough.
 
     Terms are those of the columns joined by a space, in one form and lower case. Null counts as
-    empty; records with fewer terms than a shingle (or ``least_terms``) are in no class; rows with
+    empty; records with fewer terms than a shingle (or ``least_terms``) are ``short``; rows with
     a null key are left out. A repeated row counts once, and of a key that occurs with several
     contents one counts, always the same. An empty table gives empty results. No other columns are
     read.
     """
     src = df.select(F.col(key).cast("long").alias("id"), *[F.col(c) for c in columns]).where(F.col("id").isNotNull())
-    signed = cut(src.mapInArrow(_signatures(columns, likeness), "id long, size int, same binary, lefts array<long>, rights array<short>"))
+    read = cut(src.mapInArrow(_signatures(columns, likeness), "id long, size int, same binary, lefts array<long>, rights array<short>"))
+    signed = read.where("size > 0")
     one = signed.groupBy("id").agg(F.min("same").alias("same"))
     named = one.groupBy("same").agg(F.min("id").alias("class"))
     classes = cut(signed.groupBy("same").agg(F.first("size").alias("size"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights")).join(named, "same"))
     members = one.join(classes.select("same", "class"), "same").select("id", "class")
     pairs = _candidates(classes.drop("same"), likeness)
-    return Near(members, _verified(src, columns, classes.select("class", "same"), pairs, likeness))
+    few = read.where("size = 0").join(one, "id", "left_anti").groupBy("id").agg(F.min("same").alias("same"))
+    copies = few.where("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("class"))
+    short = few.join(copies, "same", "left").select("id", F.coalesce("class", "id").alias("class"))
+    return Near(members, _verified(src, columns, classes.select("class", "same"), pairs, likeness), short)
 
 
 def _candidates(classes: DataFrame, likeness: Likeness) -> DataFrame:
@@ -188,7 +200,7 @@ def near_pairs(near: Near, key: str) -> DataFrame:
 
 def groups(near: Near, key: str, rounds: int = 50) -> DataFrame:
     """``<key>, group, links``: each record's group (smallest id of its connected classes) and the
-    number of links of its class. Records in no class have no row.
+    number of links of its class. Every record has a row; short ones have no links.
 
     Alternating large-star and small-star steps on the links, each kept in the shared folder, until
     nothing changes; stars halve the distances, so the rounds grow as their logarithm.
@@ -208,5 +220,5 @@ def groups(near: Near, key: str, rounds: int = 50) -> DataFrame:
             break
     roots = edges.groupBy("v").agg(F.min("u").alias("root"))
     ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").count()
-    rows = near.members.join(roots.withColumnRenamed("v", "class"), "class", "left").join(ends, "class", "left")
+    rows = near.members.union(near.short).join(roots.withColumnRenamed("v", "class"), "class", "left").join(ends, "class", "left")
     return rows.select(F.col("id").alias(key), F.coalesce("root", "class").alias("group"), F.coalesce("count", F.lit(0)).cast("long").alias("links"))

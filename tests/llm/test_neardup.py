@@ -68,6 +68,15 @@ def test_a_key_of_several_contents_has_one(spark):
     assert set(found) in ({(2, 4), (3, 5), (1, 2), (1, 4)}, {(2, 4), (3, 5), (1, 3), (1, 5)})
 
 
+def test_short_records_have_groups(spark):
+    long = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, None, None), (2, "", "!!"), (3, "Only", "a title"), (4, "only a", "TITLE"), (5, "a title", "only"), (6, "", long), (7, "", long), (8, "one", None), (6, "", "short"), (9, "", "short"), (None, "", "short"), (9, "", "short")]
+    near = near_duplicates(spark.createDataFrame(rows, "doc_id long, title string, text string"), "doc_id", ["title", "text"])
+    found = sorted(tuple(r) for r in groups(near, "doc_id").select("doc_id", "group", "links").collect())
+    assert found == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 3, 0), (5, 5, 0), (6, 6, 0), (7, 6, 0), (8, 8, 0), (9, 9, 0)]
+    assert [tuple(r) for r in near_pairs(near, "doc_id").collect()] == [(6, 7)]
+
+
 def test_no_near_duplicates(spark):
     df = spark.createDataFrame([], "doc_id long, title string, text string")
     near = near_duplicates(df, "doc_id", ["title", "text"])
