@@ -77,13 +77,13 @@ _MAGIC = re.compile(r"(?<!\w)__[A-Z]{3,}__(?!\w)")
 
 _IMAGE = re.compile(r"!\[([^\[\]]*)\](?:\([^()\s]*(?:\s+\"[^\"]*\")?\)|\[[^\[\]]*\])")
 _MD_LINK = re.compile(r"(?<!\])\[([^\[\]]+)\]\(([^()\s]*)(?:\s+\"[^\"]*\")?\)")
-_MD_REFERENCE = re.compile(r"\[(?!\d{1,4}\])([^\[\]^][^\[\]]*)\]\s?\[([^\[\]]{0,80})\]")
-_FOOTNOTE = re.compile(r"\[\^[^\[\]\s]{1,40}\](?::[ \t][^\n]*)?")
-_DEFINITION = re.compile(r"^ {0,3}\[[^\[\]^\n]{1,80}\]:[ \t]+(?:<?https?:|/|www)\S*.*$", re.M)
+_MD_REFERENCE = re.compile(r"\[(?!\d{1,4}\])([^\[\]^][^\[\]]*)\]\s?\[((?:(?!\n\n)[^\[\]])*)\]")
+_FOOTNOTE = re.compile(r"\[\^[^\[\]\s]+\](?::[ \t][^\n]*)?")
+_DEFINITION = re.compile(r"^ {0,3}\[[^\[\]^\n]+\]:[ \t]+(?:<?https?:|/|www)\S*.*$", re.M)
 _STRONG = re.compile(r"(?<![*\w])\*\*(?=[^\s*])((?:(?!\n\n)[^*])+?)(?<=[^\s*])\*\*(?!\*)")
 _STRONG_LINE = re.compile(r"(?<![\w_])__(?=[^\s_])((?:(?!\n\n)[^_])+?)(?<=[^\s_])__(?![\w_])")
-_EMPHASIS = re.compile(r"(?<![*\w\\])\*(?=[\w\"'“‘«(¿¡])((?:(?!\n\n)[^*]){1,400}?)(?<=[^\s*])\*(?![*\w])")
-_EMPHASIS_LINE = re.compile(r"(?<![\w\\_])_(?=\w)((?:(?!\n\n)[^_]){1,400}?)(?<=[^\s_])_(?![\w_])")
+_EMPHASIS = re.compile(r"(?<![*\w\\])\*(?=[\w\"'“‘«(¿¡])((?:(?!\n\n)[^*])+?)(?<=[^\s*])\*(?![*\w])")
+_EMPHASIS_LINE = re.compile(r"(?<![\w\\_])_(?=\w)((?:(?!\n\n)[^_])+?)(?<=[^\s_])_(?![\w_])")
 _STRUCK = re.compile(r"(?<!~)~~(?=[^\s~])((?:(?!\n\n)[^~])+?)(?<=[^\s~])~~(?!~)")
 _MD_HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$")
 _RULE_ROW = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$")
@@ -385,7 +385,7 @@ class _Reader:
                     add(f"h{len(m[1])}", m[2])
                     i += 1
                     continue
-            if first and i + 1 < n and len(s) <= 300 and _UNDERLINE.match(rows[i + 1]) and not _UNDERLINE.match(line):
+            if first and i + 1 < n and _UNDERLINE.match(rows[i + 1]) and not _UNDERLINE.match(line):
                 self.pieces += 1
                 add("h1" if rows[i + 1][0] == "=" else "h2", s)
                 i += 2

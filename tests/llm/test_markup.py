@@ -1,5 +1,7 @@
 """Problem 2."""
 
+import time
+
 import pytest
 
 from quillon.llm.markup import parse, render
@@ -31,6 +33,26 @@ def test_marked(text):
     assert parse(text)[1] > 0
 
 
+LONG = "many words of one passage " * 40 + "end"
+
+
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [(f"x *{LONG}* y", f"x {LONG} y"), (f"x _{LONG}_ y", f"x {LONG} y"), (f"{LONG}\n====\n\nx", f"# {LONG}\n\nx"), (f"a [b c][{LONG}] d", "a b c d"), (f"a[^{'n' * 90}] b", "a b"), (f"a b\n\n[{LONG}]: http://x.y", "a b"), (f"x *{LONG}\n\n{LONG}* y", None)],
+)
+def test_long_pieces(text, clean):
+    """A piece ends with its paragraph, not after some number of characters."""
+    blocks, n = parse(text)
+    assert (render(blocks), n) == (clean or text, int(clean is not None))
+
+
+@pytest.mark.parametrize("text", ["*a " * 50_000, "_a " * 50_000, "[a" * 50_000, "[a]" * 50_000, "[a] [b " * 20_000, "[^a" * 50_000, "[a\n" * 50_000, "*" + "a " * 100_000, "_" + "a " * 100_000])
+def test_long_texts_end_soon(text):
+    began = time.perf_counter()
+    parse(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_structure_stays():
     html = "<h2>Head &amp; more</h2><p>One <b>two</b></p><ul><li>a</li><li>b</li></ul><pre><code>x &lt; 1\n  y</code></pre><table><tr><th>A</th><td>1</td></tr></table><blockquote>q</blockquote>"
     assert render(parse(html)[0]) == "## Head & more\n\nOne two\n\n- a\n- b\n\n```\nx < 1\n  y\n```\n\nA | 1\n\n> q"
