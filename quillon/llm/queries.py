@@ -102,8 +102,8 @@ def p9_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels, _ = _levels(spark, sf_dir)
-    return bands(levels, "doc_id").distinct()
+    levels, known = _levels(spark, sf_dir)
+    return bands(levels, "doc_id", graded=known.model is not None).distinct()
 
 
 QUERIES = {

@@ -240,12 +240,13 @@ def reading_levels(docs: DataFrame, labels: DataFrame, key: str, text: str) -> t
     return profiled.mapInArrow(run, schema), known
 
 
-def bands(levels: DataFrame, key: str, lang: str = "en", least: int = 40) -> DataFrame:
+def bands(levels: DataFrame, key: str, lang: str = "en", least: int = 40, graded: bool = True) -> DataFrame:
     """``<key>, band``: plain prose of one language that is clearly ``easy`` or ``hard``: graded on
-    that half of the scale, and short or long in sentences and terms."""
+    that half of the scale, and short or long in sentences and terms. Where no model was trained
+    (``graded`` is false) all levels are the same, and sentences and terms decide alone."""
     low, high = LEVELS
     middle = (low + high) / 2
-    easy = (F.col("level") < middle + 0.5) & (F.col("sentence_terms") < 10) & (F.col("term_chars") < 4.8)
-    hard = (F.col("level") > middle - 0.5) & (F.col("sentence_terms") > 22) & (F.col("term_chars") > 6)
+    easy = ((F.col("level") < middle + 0.5) | F.lit(not graded)) & (F.col("sentence_terms") < 10) & (F.col("term_chars") < 4.8)
+    hard = ((F.col("level") > middle - 0.5) | F.lit(not graded)) & (F.col("sentence_terms") > 22) & (F.col("term_chars") > 6)
     of = levels.where((F.col("lang") == lang) & (F.col("pieces") == 0) & (F.col("terms") >= least))
     return of.select(key, F.when(easy, "easy").when(hard, "hard").alias("band")).where("band IS NOT NULL")

@@ -73,3 +73,16 @@ def test_levels_and_bands(spark):
     assert found == {i: "easy" if i % 2 else "hard" for i in range(120)}
     none, _ = reading_levels(df.limit(0), of, "doc_id", "text")
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("level", [1, 5])
+def test_bands_without_a_model(spark, tmp_path, level):
+    """Under 50 rated documents give one grade, which leaves out neither band."""
+    from quillon.llm.queries import QUERIES
+
+    docs = [(i, (EASY if i % 2 else HARD) * 4, "en", "s") for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, level, "r") for i in range(8)], "doc_id long, level int, rater string").write.parquet(f"{tmp_path}/reading_labels.parquet")
+    assert {r["level"] for r in QUERIES["p9_levels"](spark, str(tmp_path)).collect()} == {float(level)}
+    found = {r["doc_id"]: r["band"] for r in QUERIES["p9_found"](spark, str(tmp_path)).collect()}
+    assert found == {i: "easy" if i % 2 else "hard" for i in range(8)}
