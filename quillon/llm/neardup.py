@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -198,16 +199,17 @@ def near_pairs(near: Near, key: str) -> DataFrame:
     return found.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
-def groups(near: Near, key: str, rounds: int = 50) -> DataFrame:
+def groups(near: Near, key: str, rounds: int | None = None) -> DataFrame:
     """``<key>, group, links``: each record's group (smallest id of its connected classes) and the
     number of links of its class. Every record has a row; short ones have no links.
 
     Alternating large-star and small-star steps on the links, each kept in the shared folder, until
-    nothing changes; stars halve the distances, so the rounds grow as their logarithm.
+    nothing changes; stars halve the distances, so the rounds grow as their logarithm. More than
+    ``rounds`` of them, if given, raise.
     """
     links = cut(near.links.select("a", "b"))
     edges = cut(links.select(F.col("b").alias("v"), F.col("a").alias("u")).distinct())
-    for _ in range(rounds):
+    for n in count(1):
         before = edges
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         lowest = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v"))
@@ -218,6 +220,8 @@ def groups(near: Near, key: str, rounds: int = 50) -> DataFrame:
         edges = cut(small)
         if edges.count() == before.count() and not edges.exceptAll(before).take(1):
             break
+        if n == rounds:
+            raise RuntimeError(f"groups still change after {rounds} rounds")
     roots = edges.groupBy("v").agg(F.min("u").alias("root"))
     ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").count()
     rows = near.members.union(near.short).join(roots.withColumnRenamed("v", "class"), "class", "left").join(ends, "class", "left")

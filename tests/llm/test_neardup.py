@@ -77,6 +77,17 @@ def test_short_records_have_groups(spark):
     assert [tuple(r) for r in near_pairs(near, "doc_id").collect()] == [(6, 7)]
 
 
+def test_groups_are_whole_or_raise(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(1000), 60)
+    members = spark.createDataFrame([(i, i) for i in ids], "id long, class long")
+    links = spark.createDataFrame([(min(p), max(p), 1.0) for p in zip(ids, ids[1:])], "a long, b long, similarity double")
+    near = neardup.Near(members, links, members.limit(0))
+    assert {r["group"] for r in groups(near, "doc_id").collect()} == {min(ids)}
+    with pytest.raises(RuntimeError):
+        groups(near, "doc_id", rounds=1)
+
+
 def test_no_near_duplicates(spark):
     df = spark.createDataFrame([], "doc_id long, title string, text string")
     near = near_duplicates(df, "doc_id", ["title", "text"])
