@@ -12,10 +12,10 @@ import sys
 from pyspark.sql import SparkSession
 
 from . import __version__
-from .operators.match import QueryTooExpensive, execute, parse, parsed, refuse_expensive
-from .operators.metrics import REGISTRY, JsonLines, correlated, timed_query
-from .operators.present import cut_short, json_results, passage_lines, result_lines, snippets, suggest, visible
-from .operators.rank import Ranker
+from .operators.engine import Searcher
+from .operators.match import QueryTooExpensive, parse
+from .operators.metrics import JsonLines
+from .operators.present import cut_short, json_lines, passage_lines, result_lines, suggest, visible
 from .operators.store import AnalyzerMismatch, ManifestFormatError, SegmentStore
 from .sources.pages import read_dump, read_pages, write_pages
 
@@ -59,14 +59,10 @@ def make_corpus(spark: SparkSession, dump: str, output: str, limit: int | None =
 
 
 def search(spark: SparkSession, path: str, text: str, limit: int = 10, scorer: str = "tfidf", snippet: bool = True, as_json: bool = False) -> int:
-    index = SegmentStore(spark, path).open()
-    refuse_expensive(index, text)
-    q = parsed(spark.createDataFrame([(text,)], "query string"))
-    ranked = Ranker(scorer).rank(index, q, execute(index, q), k=limit)
-    shown = snippets(ranked, index).orderBy("rank")
-    rows = shown.collect()  # at most limit
+    searcher = Searcher(SegmentStore(spark, path), scorer)
+    index = searcher.index
+    rows = searcher.search(text, limit)
     if not rows:
-        REGISTRY.counter("query_zero_results_total", "Queries that found nothing.").increment()
         missing = sorted({t for t in parse(text).terms if not index.document_frequency(t)})
         for term in missing:
             near = [r["candidate"] for r in suggest(index, spark.createDataFrame([(term,)], "term string")).orderBy("distance", "candidate").collect()]
@@ -74,17 +70,15 @@ def search(spark: SparkSession, path: str, text: str, limit: int = 10, scorer: s
                 print(f"no {term}; did you mean {', '.join(near)}?", file=sys.stderr)
         return NONE
     if as_json:
-        for line in json_results(shown).collect():
-            print(line["value"])
+        print("\n".join(json_lines(rows)))
         return FOUND
     if not snippet:
         print("\n".join(result_lines(rows)))
         return FOUND
     columns = shutil.get_terminal_size().columns
     for r in rows:
-        print(f"{r['rank']:>3}. {r['score']:.4f}  {cut_short(visible(r['title']) or 'document ' + str(r['doc_id']), columns - 14)}")
-        marks = [(h["start"], h["end"]) for h in r["highlights"]]
-        print("\n".join(passage_lines(r["passage"], marks, columns, sys.stdout.isatty())))
+        print(f"{r.rank:>3}. {r.score:.4f}  {cut_short(visible(r.title) or 'document ' + str(r.doc_id), columns - 14)}")
+        print("\n".join(passage_lines(r.passage, r.highlights, columns, sys.stdout.isatty())))
     return FOUND
 
 
@@ -92,18 +86,16 @@ def main(arguments: list[str] | None = None) -> int:
     options = parser().parse_args(arguments)
     spark = SparkSession.builder.appName("quillon").getOrCreate()
     try:
-        with correlated(), timed_query():
-            if options.command == "index":
-                return index_corpus(spark, options.corpus, options.output)
-            if options.command == "corpus":
-                return make_corpus(spark, options.dump, options.output, options.limit)
-            if options.log:
-                handler = logging.StreamHandler()
-                handler.setFormatter(JsonLines(redact=True))
-                logging.getLogger("quillon").addHandler(handler)
-                logging.getLogger("quillon").setLevel(logging.INFO)
-                logging.getLogger("quillon").info("search", extra={"fields": {"query": options.query, "scorer": options.scorer, "limit": options.limit}})
-            return search(spark, options.index, options.query, options.limit, options.scorer, not options.no_snippet, options.json)
+        if options.command == "index":
+            return index_corpus(spark, options.corpus, options.output)
+        if options.command == "corpus":
+            return make_corpus(spark, options.dump, options.output, options.limit)
+        if options.log:
+            handler = logging.StreamHandler()
+            handler.setFormatter(JsonLines(redact=True))
+            logging.getLogger("quillon").addHandler(handler)
+            logging.getLogger("quillon").setLevel(logging.INFO)
+        return search(spark, options.index, options.query, options.limit, options.scorer, not options.no_snippet, options.json)
     except (QueryTooExpensive, AnalyzerMismatch, ManifestFormatError, json.JSONDecodeError, OSError) as error:
         print(error, file=sys.stderr)
         return BAD

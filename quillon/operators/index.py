@@ -1,11 +1,14 @@
 """The positional inverted index as tables.
 
-postings    term, field, doc_id, tf, positions   one row for a term of a field of a document
+postings    term, field, doc_id, tf, length, positions   one row for a term of a field of a document
 term_stats  term, field, df, cf, max_tf
 doc_stats   doc_id, length, title_length, norm   also of documents without terms
+ranges      term, range, documents, impact       bounds of runs of document ids, for pruning
 blocks      term, block_no, last_document, document_count, max_tf
 
-A document's postings are made where its text is read, so building them needs no exchange.
+A document's postings are made where its text is read; ``length`` is that of their field, so scoring
+looks for nothing but postings. They are laid out by ranges of (term, field, document): few terms
+are a few row groups, and a term of very many documents is spread over many tasks and files.
 """
 
 from __future__ import annotations
@@ -14,14 +17,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import STOPWORDS, analyze_positioned, fingerprint
-from ..plans.tables import keep
+from ..functions.analysis import STOPWORDS, fingerprint, term_of, tokenize
+from ..functions.batches import parts, strings
+from ..functions.words import pieces
+from ..plans.tables import drop_kept, keep
 
 BLOCK = 128
-_POSTINGS = "term string, field string, doc_id long, tf int, positions array<int>"
+#: Width of the runs of document ids in ``ranges``.
+RANGE = 256
+# Parameters of BM25.
+K1, B = 1.2, 0.75
+#: Terms of tokens a task remembers.
+REMEMBERED = 1 << 18
+_POSTINGS = "term string, field string, doc_id long, tf int, length int, positions array<int>"
 
 
 class DuplicateDocument(ValueError):
@@ -39,28 +50,60 @@ def documents(df: DataFrame, key: str = "doc_id", title: str = "title", text: st
 
 def postings(docs: DataFrame, stopwords: frozenset[str] = STOPWORDS, form: str = "NFC", fields: bool = True) -> DataFrame:
     """Postings of ``doc_id, title, text``: the document field '' holds title and text joined by a
-    space, the field 'title' the title again, counted from 0."""
+    space, the field 'title' the title again, counted from 0. Very long texts are read in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
+
+        def places(content: str) -> tuple[dict[str, list[int]], int]:
+            """The places of each term of a field, and how many terms it has."""
+            at: dict[str, list[int]] = {}
+            number = dropped = 0
+            for piece in pieces(content):
+                tokens = tokenize(piece, form)
+                for position, token in enumerate(tokens, number):
+                    try:
+                        term = known[token]
+                    except KeyError:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        term = known[token] = None if token in stopwords else term_of(token)
+                    if term is None:
+                        dropped += 1
+                    elif term in at:
+                        at[term].append(position)
+                    else:
+                        at[term] = [position]
+                number += len(tokens)
+            return at, number - dropped
+
         for batch in batches:
-            terms, names, ids, tfs, places = [], [], [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "title", "text"))
-            for doc, title, text in zip(*columns):
-                for field, content in (("", f"{title} {text}"), ("title", title))[: 2 if fields else 1]:
-                    at: dict[str, list[int]] = {}
-                    for position, term in analyze_positioned(content, stopwords, form):
-                        at.setdefault(term, []).append(position)
-                    for term, positions in at.items():
-                        terms.append(term)
-                        names.append(field)
-                        ids.append(doc)
-                        tfs.append(len(positions))
-                        places.append(positions)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["term", "field", "doc_id", "tf", "positions"])
+            for part in parts(batch, "title", "text"):
+                terms, names, ids, tfs, lengths, flat, ends = [], [], [], [], [], [], [0]
+                for doc, title, text in zip(part.column("doc_id").to_pylist(), strings(part, "title"), strings(part, "text")):
+                    for field, content in (("", f"{title} {text}"), ("title", title))[: 2 if fields else 1]:
+                        at, length = places(content)
+                        terms.extend(at)
+                        for positions in at.values():
+                            tfs.append(len(positions))
+                            flat.extend(positions)
+                            ends.append(len(flat))
+                        names.extend([field] * len(at))
+                        ids.extend([doc] * len(at))
+                        lengths.extend([length] * len(at))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int32()), pa.array(lengths, pa.int32()), lists], names=["term", "field", "doc_id", "tf", "length", "positions"])
 
     return docs.select("doc_id", "title", "text").mapInArrow(run, _POSTINGS)
 
 
+def laid_out(post: DataFrame) -> DataFrame:
+    """Postings in ranges of term, field and document, sorted in each. Range bounds come from a
+    sample of ``post``, which should therefore be cheap to read again."""
+    order = ["term", "field", "doc_id"]
+    return post.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
@@ -79,6 +122,18 @@ def blocks(post: DataFrame, size: int = BLOCK) -> DataFrame:
     return rows.groupBy("term", "block_no").agg(F.max("doc_id").alias("last_document"), F.count("*").alias("document_count"), F.max("tf").alias("max_tf"))
 
 
+def saturate(tf: Column, length: Column, average: float, k1: float, b: float) -> Column:
+    """The part of BM25 that grows with the occurrences of a term, and never beyond k1 + 1."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(average or 1.0)))
+
+
+def ranges(post: DataFrame, average: float, size: int = RANGE, k1: float = K1, b: float = B) -> DataFrame:
+    """``term, range, documents, impact``: what a term adds at most to the score of a document, but
+    for its document weight, in each run of ``size`` ids that holds it."""
+    rows = post.where("field = ''").select("term", F.floor(F.col("doc_id") / size).alias("range"), saturate(F.col("tf"), F.col("length"), average, k1, b).alias("impact"))
+    return rows.groupBy("term", "range").agg(F.count("*").alias("documents"), F.max("impact").alias("impact"))
+
+
 def doc_lengths(docs: DataFrame, post: DataFrame) -> DataFrame:
     """``doc_id, length, title_length``; terms after stopwords, 0 for documents without any."""
     of = post.groupBy("doc_id").agg(
@@ -96,6 +151,7 @@ class SearchIndex:
     postings: DataFrame
     term_stats: DataFrame
     doc_stats: DataFrame
+    ranges: DataFrame
     document_count: int
     average_length: float
     average_title: float
@@ -158,7 +214,8 @@ def from_tables(docs: DataFrame, post: DataFrame, print_: str) -> SearchIndex:
     norms = post.where("field = ''").join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
     of_docs = keep(lengths.join(norms, "doc_id", "left").na.fill(0.0, ["norm"]))
     whole = of_docs.agg(F.avg("length").alias("a"), F.avg("title_length").alias("t"), F.min("length").alias("m")).first()
-    return SearchIndex(docs, post, stats, of_docs, n, whole["a"] or 0.0, whole["t"] or 0.0, whole["m"] or 0, print_)
+    bounds = keep(ranges(post, whole["a"] or 0.0))
+    return SearchIndex(docs, post, stats, of_docs, bounds, n, whole["a"] or 0.0, whole["t"] or 0.0, whole["m"] or 0, print_)
 
 
 def build_index(docs: DataFrame, stopwords: frozenset[str] = STOPWORDS, form: str = "NFC", strict: bool = True) -> SearchIndex:
@@ -172,11 +229,14 @@ def build_index(docs: DataFrame, stopwords: frozenset[str] = STOPWORDS, form: st
     else:
         one = docs.groupBy("doc_id").agg(F.max(F.struct("title", "text")).alias("d"))
         docs = one.select("doc_id", "d.title", "d.text")
-    post = keep(postings(docs, stopwords, form).repartition("term").sortWithinPartitions("term", "field", "doc_id"))
+    raw = keep(postings(docs, stopwords, form))
+    post = keep(laid_out(raw))
+    drop_kept(raw)
     return from_tables(docs, post, fingerprint(stopwords, form))
 
 
 def derive_stopwords(index: SearchIndex, threshold: float = 0.5) -> DataFrame:
-    """``term, df`` of the terms at least this share of the documents hold; none if there are none."""
+    """``term, df`` of the terms at least this share of the documents hold, those of fields too;
+    none if there are no documents."""
     least = threshold * index.document_count
-    return index.term_stats.where((F.col("field") == "") & (F.col("df") >= least) & F.lit(index.document_count > 0)).select("term", "df")
+    return index.term_stats.where((F.col("df") >= least) & F.lit(index.document_count > 0)).select(qualified(F.col("field"), F.col("term")).alias("term"), "df")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ MOST_TERMS = 32
 MOST_COST = 5_000_000
 #: Query terms that are broadcast (about 50 bytes each); more are joined in an exchange.
 BROADCAST_ROWS = 200_000
+#: Query terms that are named to the scan of the postings; of more a scan only uses the outer two.
+LITERALS = 10
 
 
 class QueryTooExpensive(ValueError):
@@ -55,22 +58,41 @@ def parsed(queries: DataFrame, key: str = "query", text: str = "query") -> DataF
     return rows.select(key, "q.is_phrase", F.explode("q.terms").alias("t")).select(key, "is_phrase", "t.off", "t.term")
 
 
+def _few(df: DataFrame, limit: int) -> pa.Table | None:
+    """All rows of a table of at most ``limit`` rows, computed once; None of a larger one."""
+    rows = df.limit(limit + 1).toArrow()
+    return rows if rows.num_rows <= limit else None
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, to be broadcast if it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """The table, to be broadcast if it has at most ``limit`` rows; these are then computed once."""
+    rows = _few(df, limit)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def meeting(index: SearchIndex, terms: DataFrame, *columns: str, fields: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``term``, columns of the postings, columns of ``terms``: the postings of the terms, of the
+    document field or of all. A few terms are named to the scan, which then skips the row groups
+    without them; up to ``limit`` rows of ``terms`` are broadcast, more are joined."""
+    post = index.postings if fields else index.postings.where("field = ''")
+    rows = _few(terms, limit)
+    if rows is None:
+        return post.select("term", *columns).join(terms, "term")
+    names = rows.column("term").unique().to_pylist()
+    if len(names) <= LITERALS:
+        post = post.where(F.col("term").isin(names))
+    return post.select("term", *columns).join(F.broadcast(terms.sparkSession.createDataFrame(rows, terms.schema)), "term")
 
 
 def match_any(index: SearchIndex, q: DataFrame, key: str = "query") -> DataFrame:
     """``<key>, doc_id``: documents with any term of the query."""
-    terms = bounded(q.select(key, "term").distinct())
-    return index.postings.where("field = ''").select("term", "doc_id").join(terms, "term").select(key, "doc_id").distinct()
+    return meeting(index, q.select(key, "term").distinct(), "doc_id").select(key, "doc_id").distinct()
 
 
 def match_phrase(index: SearchIndex, q: DataFrame, key: str = "query") -> DataFrame:
     """``<key>, doc_id``: documents with all terms at the offsets of the query, gaps included."""
-    terms = bounded(q.select(key, "off", "term").distinct())
     sizes = bounded(q.groupBy(key).agg(F.countDistinct("off").alias("n"), F.countDistinct("term").alias("kinds")))
-    met = index.postings.where("field = ''").select("term", "doc_id", "positions").join(terms, "term")
+    met = meeting(index, q.select(key, "off", "term").distinct(), "doc_id", "positions")
     # documents that miss a term go before positions are unfolded
     whole = met.groupBy(key, "doc_id").agg(F.countDistinct("term").alias("kinds")).join(sizes, [key, "kinds"]).select(key, "doc_id", "n")
     places = met.join(whole, [key, "doc_id"]).select(key, "doc_id", "n", "off", F.explode("positions").alias("position"))

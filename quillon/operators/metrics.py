@@ -175,6 +175,13 @@ class LruCache:
         return self.hits / asked if asked else 0.0
 
 
+def counted_get(cache: LruCache, key, name: str, registry: Registry = REGISTRY):
+    """What a cache has for a key, with a count of hits and misses under its name."""
+    found = cache.get(key)
+    registry.counter(f"{name}_cache_{'misses' if found is MISSING else 'hits'}_total", f"Looks into the {name} cache.").increment()
+    return found
+
+
 def result_key(generation: int, text: str, limit: int, scorer: str) -> tuple:
     """What a cached result depends on."""
     return (generation, text, limit, scorer)

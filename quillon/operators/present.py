@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import analyze_spans
+from ..functions.analysis import analyze, analyze_spans
 from .index import SearchIndex
 from .match import bounded, parse
 
@@ -27,21 +28,12 @@ class Snippet:
     highlights: tuple[tuple[int, int], ...]
 
 
-def extract(text: str | None, query: str, width: int = WIDTH, form: str = "NFC") -> Snippet:
-    """The passage of ``width`` terms that shows most of the query (distinct terms, then all), the
-    earliest of equals, widened to sentence edges at most ten terms away. Highlights are ranges in
-    the passage, touching ones merged. A text without terms is shown whole."""
-    if width < 1:
-        raise ValueError("width must be positive")
-    normal = unicodedata.normalize(form, text or "")
-    spans = analyze_spans(normal, form=form)
-    if not spans:
-        return Snippet(normal, ())
-    wanted = set(parse(query).terms)
-    n = len(spans)
-    hit = [t if t in wanted else None for t, _, _ in spans]
+def best_window(terms: list[str], wanted: set[str], width: int = WIDTH) -> tuple[int, int, int]:
+    """Where the window of ``width`` terms begins that shows most of ``wanted``, how many different
+    ones it shows, and how many in all; the first of equals, 0 where nothing is shown."""
     best, first = (0, 0), 0
     inside: dict[str, int] = {}
+    hit = [t if t in wanted else None for t in terms]
     for i, term in enumerate(hit):
         if term:
             inside[term] = inside.get(term, 0) + 1
@@ -52,6 +44,22 @@ def extract(text: str | None, query: str, width: int = WIDTH, form: str = "NFC")
         score = (len(inside), sum(inside.values()))
         if score > best:
             best, first = score, max(0, i - width + 1)
+    return first, *best
+
+
+def extract(text: str | None, query: str, width: int = WIDTH, form: str = "NFC") -> Snippet:
+    """The passage of ``width`` terms that shows most of the query (distinct terms, then all), the
+    earliest of equals, widened to sentence edges at most ten terms away. Highlights are ranges in
+    the passage, touching ones merged. A text without terms is shown whole."""
+    if width < 1:
+        raise ValueError("width must be positive")
+    normal = unicodedata.normalize(form, text or "")
+    spans = analyze_spans(normal, form=form)
+    if not spans:
+        return Snippet(normal, ())
+    wanted = set(parse(query).terms)
+    n = len(spans)
+    first, _, _ = best_window([t for t, _, _ in spans], wanted, width)
     last = min(n - 1, first + width - 1)
     start, end = spans[first][1], spans[last][2]
     for i in range(first, max(0, first - TOLERANCE) - 1, -1):
@@ -95,6 +103,18 @@ def snippets(ranked: DataFrame, index: SearchIndex, key: str = "query", width: i
     return rows.select(key, "rank", "doc_id", "score", "title", "s.passage", "s.highlights")
 
 
+def snippet_windows(ranked: DataFrame, index: SearchIndex, key: str = "query", width: int = WIDTH) -> DataFrame:
+    """``<key>, rank, doc_id, first, kinds, hits`` of ranked documents: which term of the text the
+    passage begins with before it is widened, and how many terms of the query it shows."""
+
+    @F.pandas_udf("first int, kinds int, hits int")
+    def window(texts: pd.Series, queries: pd.Series) -> pd.DataFrame:
+        made = [best_window(analyze(t), set(parse(q or "").terms), width) for t, q in zip(texts, queries)]
+        return pd.DataFrame(made, columns=["first", "kinds", "hits"])
+
+    return index.docs.join(bounded(ranked), "doc_id").withColumn("w", window("text", key)).select(key, "rank", "doc_id", "w.*")
+
+
 def edit_distance(a: str, b: str) -> int:
     """Insertions, deletions and replacements between two words, by code point."""
     row = list(range(len(b) + 1))
@@ -107,12 +127,25 @@ def edit_distance(a: str, b: str) -> int:
 
 def suggest(index: SearchIndex, unknown: DataFrame, limit: int = 3, most: int = 2) -> DataFrame:
     """``term, candidate, distance, df``: for each unknown ``term`` the nearest known ones, by
-    distance, then documents, then alphabet. A known term and a limit under 1 give none. Terms
-    meet by length first, so only near lengths are compared."""
-    known = index.term_stats.where("field = ''").select(F.col("term").alias("candidate"), "df", F.length("term").alias("n"))
+    distance, then documents, then alphabet. A known term and a limit under 1 give none.
+
+    A known term is cut into ``most + 1`` segments. Of at most ``most`` edits at least one segment is
+    untouched and stands at most ``most`` places off, so terms meet by (length, segment, its
+    letters); what meets is measured.
+    """
+    known = index.term_stats.where("field = ''").select(F.col("term").alias("candidate"), "df")
     asked = unknown.select("term").distinct().join(known.select(F.col("candidate").alias("term")), "term", "left_anti")
-    asked = asked.withColumn("n", F.explode(F.sequence(F.greatest(F.length("term") - most, F.lit(0)), F.length("term") + most)))
-    near = known.join(bounded(asked), "n").withColumn("distance", F.levenshtein("term", "candidate", most)).where("distance >= 0")
+    start = lambda i: F.floor(i * F.col("n") / (most + 1)).cast("int")
+    number = F.explode(F.sequence(F.lit(0), F.lit(most)))
+    segments = known.withColumn("n", F.length("candidate")).withColumn("i", number)
+    segments = segments.select("candidate", "df", "n", "i", F.substring("candidate", start(F.col("i")) + 1, start(F.col("i") + 1) - start(F.col("i"))).alias("segment"))
+    lengths = F.explode(F.sequence(F.greatest(F.length("term") - most, F.lit(0)), F.length("term") + most))
+    probes = asked.withColumn("n", lengths).withColumn("i", number).withColumn("at", F.explode(F.sequence(start(F.col("i")) - most, start(F.col("i")) + most)))
+    width = start(F.col("i") + 1) - start(F.col("i"))
+    probes = probes.where((F.col("at") >= 0) & (F.col("at") + width <= F.length("term")))
+    probes = probes.select("term", "n", "i", F.substring("term", F.col("at") + 1, width).alias("segment")).distinct()
+    near = segments.join(bounded(probes), ["n", "i", "segment"]).select("term", "candidate", "df").distinct()
+    near = near.withColumn("distance", F.levenshtein("term", "candidate", most)).where("distance >= 0")
     order = F.row_number().over(Window.partitionBy("term").orderBy("distance", F.col("df").desc(), "candidate"))
     return near.withColumn("r", order).where(F.col("r") <= limit).select("term", "candidate", "distance", "df")
 
@@ -147,10 +180,11 @@ def passage_lines(text: str, highlights, columns: int = 80, colour: bool = False
 
 
 def result_lines(rows: list, limit: int | None = None) -> list[str]:
-    """Ranked rows as plain lines."""
-    return [f"{r['rank']:>3}. {r['score']:.4f}  document {r['doc_id']}" for r in rows[:limit]]
+    """Results as plain lines."""
+    return [f"{r.rank:>3}. {r.score:.4f}  document {r.doc_id}" for r in rows[:limit]]
 
 
-def json_results(shown: DataFrame) -> DataFrame:
-    """Shown results as JSON lines (``value``)."""
-    return shown.select(F.to_json(F.struct(F.col("doc_id").alias("identifier"), "title", "score", F.col("passage").alias("snippet"), "highlights")).alias("value"))
+def json_lines(rows: list) -> list[str]:
+    """Results as JSON lines."""
+    shown = [{"identifier": r.doc_id, "title": r.title, "score": r.score, "snippet": r.passage, "highlights": [{"start": a, "end": b} for a, b in r.highlights]} for r in rows]
+    return [json.dumps(line, ensure_ascii=False, separators=(",", ":")) for line in shown]

@@ -1,10 +1,13 @@
-"""Exact top-k with early termination by bounds of blocks.
-
-1. All documents of a query's rarest term are scored; the k-th score is the threshold.
-2. A candidate's bound is the sum of the bounds of the blocks its postings lie in.
-3. Only candidates whose bound reaches the threshold are scored.
-A document outside the first step that is among the best k has a bound of at least its score, which
-is at least the threshold, so the result is that of the full scan.
+"""Exact top-k by BM25 with early termination by bounds of ranges of documents.
+
+1. A query's threshold is the k-th best score by its rarest term of at least k documents alone: a
+   whole score is never less, so k documents reach it.
+2. The bound of a range of ids is the sum of what the query's terms add there at most. It comes from
+   the index's ``ranges``, without a look at the postings.
+3. Only postings in ranges whose bound reaches the threshold are joined and scored; the others go
+   before the exchange.
+A document among the best k scores at least the threshold, so its range's bound does too: the result
+is that of the full scan.
 """
 
 from __future__ import annotations
@@ -12,10 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
-from .index import BLOCK, SearchIndex
-from .match import bounded
-from .rank import bm25_idf, permitted, saturate, score_bm25, top_k
+from .index import K1, RANGE, B, SearchIndex, ranges, saturate
+from .match import bounded, meeting
+from .rank import bm25_idf, permitted, top_k
 
 #: Room for rounding: bounds and scores are sums in different order.
 SLACK = 1 - 1e-9
@@ -23,37 +25,28 @@ SLACK = 1 - 1e-9
 
 def upper_bounds(index: SearchIndex) -> DataFrame:
     """``term, bound``: no document scores more for the term."""
-    bound = bm25_idf(index.document_count, F.col("df")) * saturate(F.col("max_tf"), F.lit(index.shortest), index.average_length)
+    bound = bm25_idf(index.document_count, F.col("df")) * saturate(F.col("max_tf"), F.lit(index.shortest), index.average_length, K1, B)
     return index.term_stats.where("field = ''").select("term", bound.alias("bound"))
 
 
-def _numbered(index: SearchIndex, terms: DataFrame, size: int) -> DataFrame:
-    """Postings of the terms with the number of their block: ids in ranges, so a block needs no
-    order over all documents of a term."""
-    return index.postings.where("field = ''").select("term", "doc_id", "tf").join(bounded(terms), "term").withColumn("block", F.floor(F.col("doc_id") / size))
-
-
-def rank_pruned(index: SearchIndex, q: DataFrame, k: int = 10, key: str = "query", permit=None, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def rank_pruned(index: SearchIndex, q: DataFrame, k: int = 10, key: str = "query", permit=None, size: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """The k best by BM25, and ``<key>, scored``: how many documents were scored for each query."""
     if k <= 0:
         raise ValueError("k must be positive")
-    stats = index.term_stats.where("field = ''").select("term", "df")
-    terms = cut(q.select(key, "term").distinct().join(stats, "term").select(key, "term", "df"))
+    stats = index.term_stats.where("field = ''").select("term", "df", bm25_idf(index.document_count, F.col("df")).alias("idf"))
+    terms = bounded(q.select(key, "term").distinct().join(stats, "term").select(key, "term", "df", "idf"))
+    score = F.col("idf") * saturate(F.col("tf"), F.col("length"), index.average_length, K1, B)
+    # 1. thresholds; a query without a term of k documents has none
     rare = F.row_number().over(Window.partitionBy(key).orderBy("df", "term"))
-    first = cut(terms.withColumn("r", rare).where("r = 1").select(key, "term"))
-    post = permitted(_numbered(index, terms.select("term", "df").distinct(), size), permit)
-    # 1. threshold from the rarest term
-    seed = post.join(bounded(first), "term").select(key, "doc_id")
-    seeds = score_bm25(index, q, key, permit).join(seed, [key, "doc_id"], "left_semi")
-    last = top_k(seeds, k, key).groupBy(key).agg(F.count("*").alias("n"), F.min("score").alias("s"))
-    threshold = cut(last.select(key, F.when(F.col("n") >= k, F.col("s")).otherwise(0.0).alias("threshold")))
-    # 2. bounds
-    most = post.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.first("df").alias("df"))
-    bound = bm25_idf(index.document_count, F.col("df")) * saturate(F.col("max_tf"), F.lit(index.shortest), index.average_length)
-    most = most.select("term", "block", bound.alias("bound"))
-    bounds = post.select("term", "block", "doc_id").join(most, ["term", "block"]).join(bounded(terms.select(key, "term")), "term")
-    held = bounds.groupBy(key, "doc_id").agg(F.sum("bound").alias("bound")).join(bounded(threshold), key, "left")
-    candidates = cut(held.where(F.col("bound") >= F.coalesce("threshold", F.lit(0.0)) * SLACK).select(key, "doc_id").union(seed).distinct())
+    first = terms.where(F.col("df") >= k).withColumn("r", rare).where("r = 1").select(key, "term", "idf")
+    seeds = permitted(meeting(index, first, "doc_id", "tf", "length"), permit).select(key, "doc_id", score.alias("score"))
+    last = top_k(seeds, k, key).groupBy(key).agg(F.count("*").alias("n"), F.min("score").alias("threshold")).where(F.col("n") >= k)
+    # 2. ranges that can hold one of the best
+    bounds = index.ranges if size == RANGE else ranges(index.postings, index.average_length, size)
+    held = bounds.join(terms.select(key, "term", "idf"), "term").groupBy(key, "range").agg(F.sum(F.col("idf") * F.col("impact")).alias("bound"))
+    open_ranges = held.join(bounded(last.select(key, "threshold")), key, "left").where(F.col("bound") >= F.coalesce("threshold", F.lit(0.0)) * SLACK).select(key, "range")
     # 3. exact scores
-    exact = score_bm25(index, q, key, permit).join(candidates, [key, "doc_id"], "left_semi")
-    return top_k(exact, k, key), candidates.groupBy(key).agg(F.count("*").alias("scored"))
+    met = permitted(meeting(index, terms.select(key, "term", "idf"), "doc_id", "tf", "length"), permit).withColumn("range", F.floor(F.col("doc_id") / size))
+    met = met.join(bounded(open_ranges), [key, "range"])
+    exact = met.groupBy(key, "doc_id").agg(F.sum(score).alias("score")).where("score > 0")
+    return top_k(exact, k, key), exact.groupBy(key).agg(F.count("*").alias("scored"))

@@ -12,11 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import SearchIndex
-from .match import bounded
+from .index import K1, B, SearchIndex, saturate
+from .match import bounded, meeting
 
 # Parameters of the formulas.
-K1, B = 1.2, 0.75
 PROXIMITY = 0.3
 FIELD_WEIGHTS = {"": 1.0, "title": 3.0}
 
@@ -29,21 +28,10 @@ def bm25_idf(n: int, df: Column) -> Column:
     return F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
 
 
-def saturate(tf: Column, length: Column, average: float, k1: float = K1, b: float = B) -> Column:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(average or 1.0)))
-
-
 def _terms(q: DataFrame, key: str) -> DataFrame:
     return q.groupBy(key, "term").agg(F.count("*").alias("times"))
 
 
-def _met(index: SearchIndex, q: DataFrame, key: str, fields: bool = False, permit: DataFrame | Column | None = None) -> DataFrame:
-    """Postings of the query terms, of permitted documents only."""
-    post = index.postings if fields else index.postings.where("field = ''")
-    post = post.select("term", "field", "doc_id", "tf").join(bounded(_terms(q, key)), "term")
-    return permitted(post, permit)
-
-
 def permitted(rows: DataFrame, permit: DataFrame | Column | None) -> DataFrame:
     """Rows of permitted documents: a table with their ``doc_id``, or a condition. Applied before
     scores are made, so nothing that is not permitted can displace anything."""
@@ -61,7 +49,7 @@ def score_tfidf(index: SearchIndex, q: DataFrame, key: str = "query", permit=Non
     weights = _terms(q, key).join(idf, "term").withColumn("w", F.col("times") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     weights = weights.withColumn("length", length).select(key, "term", "idf", F.when(F.col("length") > 0, F.col("w") / F.col("length")).otherwise(0.0).alias("qw"))
-    met = permitted(index.postings.where("field = ''").select("term", "doc_id", "tf").join(bounded(weights), "term"), permit)
+    met = permitted(meeting(index, weights, "doc_id", "tf"), permit)
     dots = met.groupBy(key, "doc_id").agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("dot"))
     scored = dots.join(index.doc_stats.select("doc_id", "norm"), "doc_id")
     return scored.select(key, "doc_id", F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0).alias("score")).where("score > 0")
@@ -70,9 +58,7 @@ def score_tfidf(index: SearchIndex, q: DataFrame, key: str = "query", permit=Non
 def score_bm25(index: SearchIndex, q: DataFrame, key: str = "query", permit=None, k1: float = K1, b: float = B) -> DataFrame:
     """``<key>, doc_id, score``; repeated query terms count once."""
     idf = index.term_stats.where("field = ''").select("term", bm25_idf(index.document_count, F.col("df")).alias("idf"))
-    terms = bounded(_terms(q, key).join(idf, "term").select(key, "term", "idf"))
-    met = permitted(index.postings.where("field = ''").select("term", "doc_id", "tf").join(terms, "term"), permit)
-    met = met.join(index.doc_stats.select("doc_id", "length"), "doc_id")
+    met = permitted(meeting(index, _terms(q, key).join(idf, "term").select(key, "term", "idf"), "doc_id", "tf", "length"), permit)
     return met.groupBy(key, "doc_id").agg(F.sum(F.col("idf") * saturate(F.col("tf"), F.col("length"), index.average_length, k1, b)).alias("score")).where("score > 0")
 
 
@@ -81,16 +67,12 @@ def score_bm25f(index: SearchIndex, q: DataFrame, key: str = "query", weights: d
     of the document field; a field of weight 0 or without the term adds nothing."""
     weights = FIELD_WEIGHTS if weights is None else weights
     idf = index.term_stats.where("field = ''").select("term", bm25_idf(index.document_count, F.col("df")).alias("idf"))
-    terms = bounded(_terms(q, key).join(idf, "term").select(key, "term", "idf"))
-    met = permitted(index.postings.select("term", "field", "doc_id", "tf").join(terms, "term"), permit)
-    met = met.join(index.doc_stats.select("doc_id", "length", "title_length"), "doc_id")
-    of_title = F.col("field") == "title"
-    length = F.when(of_title, F.col("title_length")).otherwise(F.col("length"))
-    average = F.when(of_title, F.lit(index.average_title or 1.0)).otherwise(F.lit(index.average_length or 1.0))
+    met = permitted(meeting(index, _terms(q, key).join(idf, "term").select(key, "term", "idf"), "field", "doc_id", "tf", "length", fields=True), permit)
+    average = F.when(F.col("field") == "title", F.lit(index.average_title or 1.0)).otherwise(F.lit(index.average_length or 1.0))
     weight = F.lit(0.0)
     for name, w in weights.items():
         weight = F.when(F.col("field") == name, F.lit(float(w))).otherwise(weight)
-    part = weight * F.col("tf") / (1 - B + B * length / average)
+    part = weight * F.col("tf") / (1 - B + B * F.col("length") / average)
     combined = met.groupBy(key, "doc_id", "term", "idf").agg(F.sum(part).alias("c"))
     return combined.groupBy(key, "doc_id").agg(F.sum(F.col("idf") * F.col("c") * (K1 + 1) / (K1 + F.col("c"))).alias("score")).where("score > 0")
 
@@ -98,9 +80,8 @@ def score_bm25f(index: SearchIndex, q: DataFrame, key: str = "query", weights: d
 def minimum_span(index: SearchIndex, q: DataFrame, key: str = "query") -> DataFrame:
     """``<key>, doc_id, span``: width of the smallest window with every distinct term of the query,
     for documents that hold them all."""
-    terms = bounded(q.select(key, "term").distinct())
     kinds = bounded(q.groupBy(key).agg(F.countDistinct("term").alias("n")))
-    met = index.postings.where("field = ''").select("term", "doc_id", "positions").join(terms, "term")
+    met = meeting(index, q.select(key, "term").distinct(), "doc_id", "positions")
     whole = met.groupBy(key, "doc_id").agg(F.count("*").alias("n")).join(kinds, [key, "n"]).select(key, "doc_id", "n")
     lists = met.join(whole, [key, "doc_id"]).groupBy(key, "doc_id", "n").agg(F.collect_list("positions").alias("lists"))
 
@@ -182,8 +163,13 @@ class Ranker:
         found = ways[self.name](index, q, key, permit=permit, **self.options)
         return with_proximity(index, found, q, key) if self.proximity else found
 
+    def candidates(self, index: SearchIndex, q: DataFrame, candidates: DataFrame, key: str = "query", permit=None) -> DataFrame:
+        """Scores of the documents that match."""
+        return self.scores(index, q, key, permit).join(candidates, [key, "doc_id"], "left_semi")
+
+    def best(self, scored: DataFrame, k: int = 10, key: str = "query") -> DataFrame:
+        return top_k(scored, k, key)
+
     def rank(self, index: SearchIndex, q: DataFrame, candidates: DataFrame | None = None, k: int = 10, key: str = "query", permit=None) -> DataFrame:
-        found = self.scores(index, q, key, permit)
-        if candidates is not None:
-            found = found.join(candidates, [key, "doc_id"], "left_semi")
+        found = self.scores(index, q, key, permit) if candidates is None else self.candidates(index, q, candidates, key, permit)
         return top_k(found, k, key)

@@ -11,16 +11,25 @@ import json
 import math
 import re
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import fingerprint
-from .index import SearchIndex, documents, from_tables, postings
+from ..plans.tables import drop_kept, keep
+from .index import SearchIndex, documents, from_tables, laid_out, postings
 
-FORMAT = 1
+FORMAT = 2
 FAN = 4
+TABLES = {"docs": "doc_id long, title string, text string", "postings": "term string, field string, doc_id long, tf int, length int, positions array<int>"}
+#: Documents of a term on one line of a text export, at most: ids are cut in ranges of this width.
+LINE_IDS = 1 << 16
+
+
+def checksum() -> Column:
+    """A number that does not depend on the order of postings and changes with any of them."""
+    return F.bit_xor(F.xxhash64("term", "field", "doc_id", "tf", "length", "positions"))
 
 
 class ManifestFormatError(ValueError):
@@ -31,12 +40,21 @@ class AnalyzerMismatch(ValueError):
     """The store was written with another analysis."""
 
 
+class SegmentFormatError(ValueError):
+    """A segment the manifest names is missing or has other columns."""
+
+
+class SegmentCorrupt(ValueError):
+    """The rows of a segment are not those that were written."""
+
+
 @dataclass(frozen=True)
 class Segment:
     name: str
     documents: int
     deleted: int = 0
     tombstones: str = ""
+    checksum: int = 0
 
     @property
     def live(self) -> int:
@@ -135,8 +153,7 @@ class SegmentStore:
         """Live rows of docs or postings over segments."""
         parts = [self._table(s, name) for s in (self.manifest.segments if segments is None else segments)]
         if not parts:
-            empty = "doc_id long, title string, text string" if name == "docs" else "term string, field string, doc_id long, tf int, positions array<int>"
-            return self.spark.createDataFrame([], empty)
+            return self.spark.createDataFrame([], TABLES[name])
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.unionByName(part)
@@ -146,9 +163,30 @@ class SegmentStore:
         name = f"segment-{self._next()}"
         docs.write.parquet(f"{self.path}/{name}/docs")
         kept = self.spark.read.parquet(f"{self.path}/{name}/docs")
-        post = postings(kept) if post is None else post
-        post.repartition("term").sortWithinPartitions("term", "field", "doc_id").write.parquet(f"{self.path}/{name}/postings")
-        return Segment(name, kept.count())
+        raw = keep(postings(kept)) if post is None else None
+        seen = Observation()
+        laid_out(post if raw is None else raw).observe(seen, checksum().alias("checksum")).write.parquet(f"{self.path}/{name}/postings")
+        if raw is not None:
+            drop_kept(raw)
+        return Segment(name, kept.count(), checksum=seen.get["checksum"] or 0)
+
+    def verify(self) -> None:
+        """Reads every live segment against its columns and its checksum."""
+        for s in self.manifest.segments:
+            for table, columns in TABLES.items():
+                path = self._at(s.name, table)
+                if not self.fs.exists(path):
+                    raise SegmentFormatError(f"{s.name} has no {table}")
+                names = [c.split()[0] for c in columns.split(", ")]
+                if self.spark.read.parquet(f"{self.path}/{s.name}/{table}").columns != names:
+                    raise SegmentFormatError(f"{table} of {s.name} has other columns than {names}")
+            found = self.spark.read.parquet(f"{self.path}/{s.name}/postings").agg(checksum()).first()[0] or 0
+            if found != s.checksum:
+                raise SegmentCorrupt(f"{s.name}: checksum {found}, written {s.checksum}")
+
+    def on_disk(self) -> Manifest:
+        """The manifest as it is now, also after a change by another writer."""
+        return self._read()
 
     def _without(self, ids: DataFrame) -> tuple[Segment, ...]:
         """The segments with these documents deleted: new tombstone tables, old ones untouched."""
@@ -164,7 +202,7 @@ class SegmentStore:
                 gone = gone.union(self.spark.read.parquet(f"{self.path}/{s.tombstones}"))
             name = f"tombstones-{uuid.uuid4().hex}"
             gone.write.parquet(f"{self.path}/{name}")
-            out.append(Segment(s.name, s.documents, s.deleted + n, name))
+            out.append(replace(s, deleted=s.deleted + n, tombstones=name))
         return tuple(s for s in out if s.live)
 
     # -- changes --------------------------------------------------------
@@ -215,9 +253,67 @@ class SegmentStore:
         return from_tables(self.table("docs"), self.table("postings"), self.manifest.analyzer).at(self.manifest.generation)
 
 
+class IndexWriter:
+    """Collects single changes and hands them to a store as one segment: at ``capacity`` of them, at
+    ``flush`` and at the end of a ``with``. The last change of a document wins; reads see what was
+    flushed. A writer that was closed refuses more."""
+
+    def __init__(self, store: SegmentStore, capacity: int = 10_000) -> None:
+        if capacity < 1:
+            raise ValueError("capacity must be positive")
+        self.store, self.capacity, self.closed = store, capacity, False
+        self.waiting: dict[int, tuple[str, str] | None] = {}
+
+    def _change(self, doc_id: int, value: tuple[str, str] | None) -> None:
+        if self.closed:
+            raise ValueError("the writer is closed")
+        self.waiting[doc_id] = value
+        if len(self.waiting) >= self.capacity:
+            self.flush()
+
+    def add(self, doc_id: int, title: str | None, text: str | None) -> None:
+        self._change(doc_id, (title or "", text or ""))
+
+    def delete(self, doc_id: int) -> None:
+        self._change(doc_id, None)
+
+    def flush(self) -> None:
+        spark = self.store.spark
+        added = [(i, *v) for i, v in self.waiting.items() if v is not None]
+        gone = [(i,) for i, v in self.waiting.items() if v is None]
+        if added:
+            self.store.upsert(spark.createDataFrame(added, TABLES["docs"]))
+        if gone:
+            self.store.delete(spark.createDataFrame(gone, "doc_id long"))
+        self.waiting.clear()
+
+    def close(self) -> None:
+        if not self.closed:
+            self.flush()
+            self.closed = True
+
+    def __enter__(self) -> IndexWriter:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.close()
+
+
 def text_export(post: DataFrame) -> DataFrame:
-    """Postings as lines ``term|doc:pos,pos;doc:pos`` (``value``), a line a term of the document
-    field; for looking at small indexes."""
+    """Postings as lines ``term|doc:pos,pos;doc:pos`` (``value``) of the document field, for looking
+    at an index: a line for each term and range of LINE_IDS document ids that holds it."""
     one = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.array_join(F.col("positions").cast("array<string>"), ","))
-    rows = post.where("field = ''").groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", one.alias("p")))).alias("ps"))
+    rows = post.where("field = ''").groupBy("term", F.floor(F.col("doc_id") / LINE_IDS)).agg(F.sort_array(F.collect_list(F.struct("doc_id", one.alias("p")))).alias("ps"))
     return rows.select(F.concat("term", F.lit("|"), F.array_join(F.col("ps.p"), ";")).alias("value"))
+
+
+def text_import(lines: DataFrame) -> DataFrame:
+    """Postings of the lines of a text export; empty lines are skipped. The length of a document is
+    that of its terms on all lines."""
+    term, rest = F.substring_index("value", "|", 1), F.substring_index("value", "|", -1)
+    docs = lines.where("value != ''").select(term.alias("term"), F.explode(F.split(rest, ";")).alias("d"))
+    positions = F.split(F.substring_index("d", ":", -1), ",").cast("array<int>")
+    rows = docs.select("term", F.lit("").alias("field"), F.substring_index("d", ":", 1).cast("long").alias("doc_id"), F.size(positions).alias("tf"), positions.alias("positions"))
+    lengths = rows.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("length"))
+    return rows.join(lengths, "doc_id").select("term", "field", "doc_id", "tf", "length", "positions")

@@ -24,9 +24,9 @@ from ..operators.store import SegmentStore
 from ..sources.pages import articles as of_articles
 from ..sources.small import synonym_table
 from ..streaming.changes import rebuilt
-from .tables import cut, shared_path, spread, table
+from .tables import cut, shared_path, signature, spread, table
 
-_BUILT: dict[tuple[str, str], SearchIndex] = {}
+_BUILT: dict[tuple, SearchIndex] = {}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    at = (spark.sparkContext.applicationId, sf_dir)
+    at = (spark.sparkContext.applicationId, sf_dir, *signature(spark, f"{sf_dir}/documents.parquet"))
     if at not in _BUILT:
         _BUILT[at] = build_index(_docs(spark, sf_dir))
     return _BUILT[at]
@@ -89,7 +89,7 @@ def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_of(spark, sf_dir).postings.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+    return index_of(spark, sf_dir).postings.drop("length").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import analyze
-from ..operators.match import bounded
+from ..operators.components import components
+from ..plans.tables import cut
 
 
 class JudgementFormatError(ValueError):
@@ -56,9 +58,22 @@ def parse_judgements(lines: Iterable[str]) -> list[tuple[str, int, int]]:
     return found
 
 
+def _lines(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a small file, or of the files of a small folder, wherever Spark reads them."""
+    texts = spark.read.option("wholetext", True).text(path).collect()
+    return [line for r in texts for line in r["value"].split("\n")]
+
+
 def judgements(spark: SparkSession, path: str) -> DataFrame:
-    with open(path, encoding="utf-8") as lines:
-        return spark.createDataFrame(parse_judgements(lines), "query string, doc_id long, grade int")
+    """``query, doc_id, grade`` of a file of judgements."""
+    return spark.createDataFrame(parse_judgements(_lines(spark, path)), "query string, doc_id long, grade int")
+
+
+def synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """``term, member`` of a file of comma-separated groups."""
+    groups = parse_synonyms(_lines(spark, path))
+    found = sorted((t, m) for t, group in groups.items() for m in group if m != t)
+    return spark.createDataFrame(found, "term string, member string")
 
 
 def merged(groups: Iterable[Iterable[str]]) -> dict[str, frozenset[str]]:
@@ -101,11 +116,12 @@ def parse_synonyms(lines: Iterable[str]) -> dict[str, frozenset[str]]:
 
 def synonym_table(pairs: DataFrame, most: int = 100_000) -> DataFrame:
     """``term, member`` of index terms from pairs of words, closed over shared terms. Pairs with an
-    empty, null or many-worded side are left out. More than ``most`` pairs raise ValueError: the
-    closure is made on the driver."""
-    rows = pairs.select("term", "member").dropna().distinct().limit(most + 1).collect()
+    empty, null or many-worded side are left out. Up to ``most`` different pairs are closed on the
+    driver, more by steps in exchanges, with the same result."""
+    raw = pairs.select("term", "member").dropna().distinct()
+    rows = raw.limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"more than {most} synonym pairs")
+        return _closed(raw)
     groups = []
     for a, b in rows:
         x, y = analyze(a), analyze(b)
@@ -115,6 +131,14 @@ def synonym_table(pairs: DataFrame, most: int = 100_000) -> DataFrame:
     return pairs.sparkSession.createDataFrame(found, "term string, member string")
 
 
-def expanded_terms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Each term with the members of its group."""
-    return terms.join(bounded(synonyms), "term", "left").select("term", F.explode(F.array("term", F.coalesce("member", "term"))).alias("member")).distinct()
+def _closed(raw: DataFrame) -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def terms(values: pd.Series) -> pd.Series:
+        return values.map(analyze)
+
+    sides = raw.select(terms("term").alias("x"), terms("member").alias("y")).where("size(x) = 1 AND size(y) = 1")
+    edges = cut(sides.select(F.col("x")[0].alias("v"), F.col("y")[0].alias("u")).where("v <> u"))
+    roots = components(edges)
+    every = edges.select("v").union(edges.select("u")).distinct().join(roots, "v", "left").select(F.coalesce("root", "v").alias("root"), F.col("v").alias("term"))
+    every = cut(every)
+    return every.join(every.select("root", F.col("term").alias("member")), "root").where("term <> member").select("term", "member")
