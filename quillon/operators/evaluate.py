@@ -81,6 +81,17 @@ def sign_test(first: list[float], second: list[float]) -> float:
     return min(1.0, 2 * sum(math.comb(n, i) for i in range(low + 1)) / 2**n)
 
 
+def paired_sign_test(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``wins, losses, ties, probability`` of the first of two runs, by their ``query, value``. Only
+    the counts leave the executors."""
+    pairs = first.select("query", F.col("value").alias("a")).join(second.select("query", F.col("value").alias("b")), "query")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    a, b = F.round("a", 9), F.round("b", 9)
+    row = pairs.agg(n(a > b).alias("wins"), n(a < b).alias("losses"), n(a == b).alias("ties")).first()
+    chance = sign_test([1.0] * row["wins"] + [0.0] * row["losses"], [0.0] * row["wins"] + [1.0] * row["losses"])
+    return first.sparkSession.createDataFrame([(*row, chance)], "wins long, losses long, ties long, probability double")
+
+
 def permutation_test(first: list[float], second: list[float], trials: int = 100_000, seed: int = 1) -> float:
     """Share of random swaps with a mean difference as great, the observed one included."""
     gaps = [a - b for a, b in zip(first, second, strict=True)]

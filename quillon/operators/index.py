@@ -3,7 +3,7 @@
 postings    term, field, doc_id, tf, length, positions   one row for a term of a field of a document
 term_stats  term, field, df, cf, max_tf
 doc_stats   doc_id, length, title_length, norm   also of documents without terms
-ranges      term, range, documents, impact       bounds of runs of document ids, for pruning
+tops        term, impacts                        greatest impacts of a term, for pruning
 blocks      term, block_no, last_document, document_count, max_tf
 
 A document's postings are made where its text is read; ``length`` is that of their field, so scoring
@@ -26,8 +26,8 @@ from ..functions.words import pieces
 from ..plans.tables import drop_kept, keep
 
 BLOCK = 128
-#: Width of the runs of document ids in ``ranges``.
-RANGE = 256
+#: Impacts of a term in ``tops``, and the width of the runs of document ids that give one each.
+TOPS, RANGE = 64, 256
 # Parameters of BM25.
 K1, B = 1.2, 0.75
 #: Terms of tokens a task remembers.
@@ -127,11 +127,15 @@ def saturate(tf: Column, length: Column, average: float, k1: float, b: float) ->
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(average or 1.0)))
 
 
-def ranges(post: DataFrame, average: float, size: int = RANGE, k1: float = K1, b: float = B) -> DataFrame:
-    """``term, range, documents, impact``: what a term adds at most to the score of a document, but
-    for its document weight, in each run of ``size`` ids that holds it."""
-    rows = post.where("field = ''").select("term", F.floor(F.col("doc_id") / size).alias("range"), saturate(F.col("tf"), F.col("length"), average, k1, b).alias("impact"))
-    return rows.groupBy("term", "range").agg(F.count("*").alias("documents"), F.max("impact").alias("impact"))
+def tops(post: DataFrame, average: float, most: int = TOPS, k1: float = K1, b: float = B) -> DataFrame:
+    """``term, impacts``: what a term adds to a score, but for its document weight, in documents where
+    that is greatest: the greatest first, at most ``most``. Of each run of RANGE ids one document is
+    taken, so the documents are different ones and a frequent term is reduced where it is read."""
+    rows = post.select("term", F.floor(F.col("doc_id") / RANGE).alias("range"), saturate(F.col("tf"), F.col("length"), average, k1, b).alias("impact"))
+    rows = rows.groupBy("term", "range").agg(F.max("impact").alias("impact"))
+    order = F.row_number().over(Window.partitionBy("term").orderBy(F.col("impact").desc(), "range"))
+    first = rows.withColumn("r", order).where(F.col("r") <= most)
+    return first.groupBy("term").agg(F.sort_array(F.collect_list("impact"), asc=False).alias("impacts"))
 
 
 def doc_lengths(docs: DataFrame, post: DataFrame) -> DataFrame:
@@ -151,7 +155,7 @@ class SearchIndex:
     postings: DataFrame
     term_stats: DataFrame
     doc_stats: DataFrame
-    ranges: DataFrame
+    tops: DataFrame
     document_count: int
     average_length: float
     average_title: float
@@ -214,8 +218,8 @@ def from_tables(docs: DataFrame, post: DataFrame, print_: str) -> SearchIndex:
     norms = post.where("field = ''").join(idf, "term").groupBy("doc_id").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
     of_docs = keep(lengths.join(norms, "doc_id", "left").na.fill(0.0, ["norm"]))
     whole = of_docs.agg(F.avg("length").alias("a"), F.avg("title_length").alias("t"), F.min("length").alias("m")).first()
-    bounds = keep(ranges(post, whole["a"] or 0.0))
-    return SearchIndex(docs, post, stats, of_docs, bounds, n, whole["a"] or 0.0, whole["t"] or 0.0, whole["m"] or 0, print_)
+    highest = keep(tops(post.where("field = ''"), whole["a"] or 0.0))
+    return SearchIndex(docs, post, stats, of_docs, highest, n, whole["a"] or 0.0, whole["t"] or 0.0, whole["m"] or 0, print_)
 
 
 def build_index(docs: DataFrame, stopwords: frozenset[str] = STOPWORDS, form: str = "NFC", strict: bool = True) -> SearchIndex:
@@ -223,9 +227,9 @@ def build_index(docs: DataFrame, stopwords: frozenset[str] = STOPWORDS, form: st
     raises DuplicateDocument; otherwise the row of greatest title and text is taken. An empty table
     makes an empty index."""
     if strict:
-        twice = docs.groupBy("doc_id").count().where("count > 1").first()
+        twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).collect()
         if twice:
-            raise DuplicateDocument(f"document {twice['doc_id']} occurs {twice['count']} times")
+            raise DuplicateDocument(f"document {twice[0]['doc_id']} occurs {twice[0]['count']} times")
     else:
         one = docs.groupBy("doc_id").agg(F.max(F.struct("title", "text")).alias("d"))
         docs = one.select("doc_id", "d.title", "d.text")

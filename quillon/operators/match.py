@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analysis import STOPWORDS, analyze_positioned
+from ..plans.tables import cut
 from .index import SearchIndex
 
 # Limits of admission.
@@ -19,6 +20,8 @@ MOST_TERMS = 32
 MOST_COST = 5_000_000
 #: Query terms that are broadcast (about 50 bytes each); more are joined in an exchange.
 BROADCAST_ROWS = 200_000
+#: Rows that become part of the plan itself.
+LOCAL_ROWS = 10_000
 #: Query terms that are named to the scan of the postings; of more a scan only uses the outer two.
 LITERALS = 10
 
@@ -58,16 +61,24 @@ def parsed(queries: DataFrame, key: str = "query", text: str = "query") -> DataF
     return rows.select(key, "q.is_phrase", F.explode("q.terms").alias("t")).select(key, "is_phrase", "t.off", "t.term")
 
 
-def _few(df: DataFrame, limit: int) -> pa.Table | None:
+def _few(df: DataFrame, limit: int = LOCAL_ROWS) -> pa.Table | None:
     """All rows of a table of at most ``limit`` rows, computed once; None of a larger one."""
     rows = df.limit(limit + 1).toArrow()
     return rows if rows.num_rows <= limit else None
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, to be broadcast if it has at most ``limit`` rows; these are then computed once."""
-    rows = _few(df, limit)
-    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    """The table, to be broadcast if it has at most ``limit`` rows; it is then computed once, and a
+    small one becomes part of the plan."""
+    rows = _few(df, min(limit, LOCAL_ROWS))
+    if rows is not None:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return sized(cut(df), limit)
+
+
+def sized(kept: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A kept table, to be broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
 
 
 def meeting(index: SearchIndex, terms: DataFrame, *columns: str, fields: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -75,9 +86,9 @@ def meeting(index: SearchIndex, terms: DataFrame, *columns: str, fields: bool =
     document field or of all. A few terms are named to the scan, which then skips the row groups
     without them; up to ``limit`` rows of ``terms`` are broadcast, more are joined."""
     post = index.postings if fields else index.postings.where("field = ''")
-    rows = _few(terms, limit)
+    rows = _few(terms, min(limit, LOCAL_ROWS))
     if rows is None:
-        return post.select("term", *columns).join(terms, "term")
+        return post.select("term", *columns).join(sized(cut(terms), limit), "term")
     names = rows.column("term").unique().to_pylist()
     if len(names) <= LITERALS:
         post = post.where(F.col("term").isin(names))
@@ -134,6 +145,13 @@ def refuse_expensive(index: SearchIndex, text: str, most_terms: int = MOST_TERMS
         raise QueryTooExpensive(f"{row[0]} postings, the most is {most_cost}")
 
 
+def refused(index: SearchIndex, q: DataFrame, key: str = "query", most_terms: int = MOST_TERMS, most_cost: int = MOST_COST) -> DataFrame:
+    """``<key>, terms, cost, reason`` of the queries that are too expensive; terms are looked at first."""
+    rows = query_cost(index, q, key)
+    reason = F.when(F.col("terms") > most_terms, "terms").when(F.col("cost") > most_cost, "cost")
+    return rows.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
 def segment_query(text: str, phrases: Iterable[str]) -> list[str]:
     """Words, with runs that are a known phrase (lower case) quoted; the longest phrase wins."""
     known = set(phrases)

@@ -16,14 +16,19 @@ from ..functions.analysis import CJK, STOPWORDS, stem_column, tokens_column
 from ..operators import evaluate as ev
 from ..operators import rank as rk
 from ..operators.index import SearchIndex, blocks, build_index, derive_stopwords, documents, postings
-from ..operators.match import execute, expand, match_any, match_phrase, parsed, query_cost
-from ..operators.present import snippets, suggest
+from ..operators.match import execute, expand, match_any, match_phrase, parsed, query_cost, refused
+from ..operators.present import snippet_windows, snippets, suggest
 from ..operators.prune import rank_pruned as pruned
 from ..operators.prune import upper_bounds
-from ..operators.store import SegmentStore
+from ..operators.store import SegmentStore, text_export, text_import
 from ..sources.pages import articles as of_articles
+from ..sources.pages import dump_lines, read_dump, read_pages, write_pages
+from ..sources.small import judgements as load_judgements
 from ..sources.small import synonym_table
-from ..streaming.changes import rebuilt
+from ..sources.small import synonyms as load_synonyms
+from ..sources.wikitext import clean_wikitext
+from ..streaming.changes import apply_changes, current, rebuilt
+from ..streaming.ingest import ingest, read_stream
 from .tables import cut, shared_path, signature, spread, table
 
 _BUILT: dict[tuple, SearchIndex] = {}
@@ -106,7 +111,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive_stopwords(index_of(spark, sf_dir))
+    return derive_stopwords(index_of(spark, sf_dir), 0.25)
 
 
 def parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +196,7 @@ def _measure(how) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def map_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ev.summary(_run(spark, sf_dir), _judged(spark, sf_dir))
+    rows = ev.summary(cut(_run(spark, sf_dir)), cut(_judged(spark, sf_dir)))
     return rows.select("queries", *[F.round(c, 6).alias(c) for c in ("map", "mrr", "ndcg", "precision")])
 
 
@@ -225,6 +230,32 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("query", "rank", "doc_id", "title", "passage", marks.alias("highlights"))
 
 
+def snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippet_windows(rank_bm25(spark, sf_dir), index_of(spark, sf_dir))
+
+
+def gap_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the first run of term, stopword, term of each evaluation text, as a phrase:
+    any stopword may stand in the gap."""
+    stop = F.array(*map(F.lit, sorted(STOPWORDS)))
+    tokens = table(spark, sf_dir, "eval_items").select(tokens_column(F.col("text")).alias("t")).where("size(t) > 2")
+    runs = F.filter(F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.slice("t", i, 3)), lambda r: F.array_contains(stop, r[1]) & ~F.array_contains(stop, r[0]) & ~F.array_contains(stop, r[2]))
+    asked = tokens.select(F.array_join(F.get(runs, F.lit(0)), " ").alias("query")).where("query IS NOT NULL").distinct()
+    q = parsed(asked.withColumn("text", F.concat(F.lit('"'), "query", F.lit('"'))), "query", "text")
+    return match_phrase(index_of(spark, sf_dir), cut(q))
+
+
+def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refused(index_of(spark, sf_dir), _queries(spark, sf_dir), most_terms=2, most_cost=100)
+
+
+def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision of BM25 against tf-idf."""
+    rels = cut(_judged(spark, sf_dir))
+    values = [ev.average_precision(_ranked(rk.Ranker(n))(spark, sf_dir), rels) for n in ("bm25", "tfidf")]
+    return ev.paired_sign_test(*values).withColumn("probability", F.round("probability", 6))
+
+
 def synonym_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free text with every query term's synonyms."""
     groups = synonym_table(table(spark, sf_dir, "synonyms"))
@@ -265,10 +296,87 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table("docs").select("doc_id", "title", "text")
 
 
-def dump_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles of a dump: no redirects, no other name spaces, wikitext cleaned."""
-    return of_articles(table(spark, sf_dir, "articles"))
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream of files into a store: the same statistics as of one index."""
+    path = shared_path(spark, f"store-{uuid.uuid4().hex}")
+    ingest(documents(read_stream(spark, f"{sf_dir}/documents.parquet", 4)), path, f"{path}-checkpoint").awaitTermination()
+    return SegmentStore(spark, path).open().term_stats
+
 
+def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of the document field, written as lines of text and read again."""
+    path = shared_path(spark, f"lines-{uuid.uuid4().hex}")
+    text_export(index_of(spark, sf_dir).postings).write.text(path)
+    return text_import(spark.read.text(path)).drop("field").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+def dump_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of a dump: no redirects, no other name spaces, something left of their wikitext."""
+    return of_articles(table(spark, sf_dir, "articles")).select("revision_id", "article_id", "title")
+
+
+def dump_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All revisions written as pages of a dump, and its articles read again."""
+    path = shared_path(spark, f"dump-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "articles").where("revision_id IS NOT NULL").withColumnRenamed("article_id", "page_id")
+    dump_lines(rows).write.text(path)
+    return read_dump(spark, path).select("doc_id", "title")
+
+
+def wiki_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constructed pages of wikitext, cleaned."""
+    pages = spark.createDataFrame(list(enumerate(WIKITEXT, 1)), "page int, wikitext string")
+    return pages.select("page", clean_wikitext(F.col("wikitext")).alias("text"))
+
+
+def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as page records, and read again."""
+    path = shared_path(spark, f"corpus-{uuid.uuid4().hex}")
+    write_pages(_docs(spark, sf_dir), path)
+    return read_pages(spark, path)
+
+
+def judgement_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judgements written as a file of JSON lines, and loaded from it."""
+    path = shared_path(spark, f"judgements-{uuid.uuid4().hex}")
+    of_query = _judged(spark, sf_dir).where("query <> ''").groupBy("query").agg(F.sort_array(F.collect_list(F.array("doc_id", F.col("grade").cast("long")))).alias("judgements"))
+    of_query.select(F.to_json(F.struct("query", "judgements"))).write.text(path)
+    return load_judgements(spark, path)
+
+
+def synonym_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synonyms written as lines of a file, a pair of single words of two terms a line, and loaded
+    from it."""
+    path = shared_path(spark, f"synonyms-{uuid.uuid4().hex}")
+    word = lambda c: F.filter(tokens_column(F.col(c)), lambda t: ~t.isin(sorted(STOPWORDS)))
+    pairs = table(spark, sf_dir, "synonyms").select("term", "member", word("term").alias("x"), word("member").alias("y")).where("size(x) = 1 AND size(y) = 1")
+    pairs = pairs.where(stem_column(F.col("x")[0]) != stem_column(F.col("y")[0]))
+    pairs.select(F.concat_ws(", ", "term", "member")).write.text(path)
+    return load_synonyms(spark, path)
+
+
+#: Wikitext as pages have it, whole and broken.
+WIKITEXT = [
+    "The ''mill'' of [[Orvane]] stands by the '''[[river Tal|Tal]]'''.",
+    "{{Infobox mill|name={{nowrap|Orvane {{circa|1640}}}}|height={{convert|12|m}}}}It has two floors.",
+    "{|class=x\n|-\n| old {|\n| inner\n|}\n|}\nAfter the table.",
+    "Corn<ref>Hale, p. 4</ref> was ground<ref name=\"h\" /> until 1901.<REF name=z>see\nHale</REF>",
+    "== The wheel ==\nIt turned.\n=== Gear ===\nOf oak.",
+    "[[File:mill.jpg|thumb|left|The mill near [[Tal bridge|the bridge]] in May]]Seen from the east.",
+    "See [https://mill.example/x the survey] and [https://mill.example/plain].",
+    "Rye &lt; wheat &amp;amp; barley&nbsp;&mdash; all <br/>ground <span class=\"n\">here</span>.",
+    "<!-- hidden {{a}} -->Open<!-- never closed",
+    "An article that explains how #redirect lines work in a wiki.",
+    "{{cut off|[[Orvane|the mill]] and more",
+    "a }} b ]] c |} d </ref> e",
+    "{{" * 40 + "deep" + "}}" * 40 + " shallow",
+    "3 < 4 and 5 > 2, so x = y = z",
+    "It is the miller's, not the ''bakers''.",
+    "{{{1|default}}} and {{a|{{{2}}}}} end",
+    "[[a {{b ]] c }} d",
+    "plain text\n\twith  gaps",
+    "",
+]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize": tokenize,
@@ -306,6 +414,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suggest": suggestions,
     "suggest_all": suggest_all,
     "snippet": snippet,
+    "snippet_window": snippet_window,
+    "match_phrase_with_stopword_gap": gap_phrases,
+    "refused_queries": refused_queries,
+    "sign_test": sign_test,
+    "ingest_stream": ingest_stream,
+    "index_text": index_text,
+    "dump_pages": dump_pages,
+    "wiki_clean": wiki_clean,
+    "corpus_pages": corpus_pages,
+    "judgement_file": judgement_file,
+    "synonym_file": synonym_file,
     "synonym_groups": synonym_groups,
     "synonym_match": synonym_match,
     "merge_segments": merge_segments,
@@ -323,4 +442,13 @@ def p4_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt(spark, f"{sf_dir}/wal_records.parquet").select("document_id", "title", "text")
 
 
-QUERIES |= {"p4_found": p4_found, "p4_current": p4_current}
+def p4_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in 24 files in no order, in micro-batches of four files: late and repeated records
+    meet the state of batches before, and versions are compacted."""
+    path = shared_path(spark, f"log-{uuid.uuid4().hex}")
+    table(spark, sf_dir, "wal_records").repartition(24, F.xxhash64("generation", "seq", "received_at")).write.parquet(path)
+    out = apply_changes(spark, path, f"{path}-out", files_per_batch=4, batches=2)
+    return current(spark, out).select("document_id", "generation", "seq")
+
+
+QUERIES |= {"p4_found": p4_found, "p4_current": p4_current, "p4_replayed": p4_replayed}

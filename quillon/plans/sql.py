@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
-from ..functions.analysis import CJK, STOPWORDS
-from ..functions.stem import STEP2, STEP3, STEP4
+# Values of its own, not those of the code they test.
+# The 25 stopwords.
+STOPWORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
+# First and last of Hiragana, Katakana, unified ideographs, Hangul syllables.
+CJK = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x3040, 0x309F), (0x30A0, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF)))
+# The suffixes of Porter's steps 2, 3 and 4 in the order of the paper, with bli and logi.
+_PAPER = {
+    2: "ational ate, tional tion, enci ence, anci ance, izer ize, bli ble, alli al, entli ent, eli e, ousli ous, ization ize, ation ate, ator ate, "
+    "alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble, logi log",
+    3: "icate ic, ative, alize al, iciti ic, ical ic, ful, ness",
+    4: "al, ance, ence, er, ic, able, ible, ant, ement, ment, ent, ion, ou, ism, ate, iti, ous, ive, ize",
+}
+
+
+def _longest_first(step: int) -> list[tuple[str, str]]:
+    rules = [(*r.split(), "")[:2] for r in _PAPER[step].split(", ")]
+    return sorted(rules, key=lambda r: -len(r[0]))
+
+
+STEP2, STEP3 = _longest_first(2), _longest_first(3)
+STEP4 = [s for s, _ in _longest_first(4)]
 
 # -- stemming as a chain of SELECTs over (token, w) ----------------------------------------------
 
@@ -172,23 +191,57 @@ _SYN = [
     "reach AS (SELECT x AS term, y AS member FROM (SELECT x, y FROM edges UNION SELECT y, x FROM edges) UNION SELECT r.term, e.b FROM reach r JOIN (SELECT x AS a, y AS b FROM edges UNION SELECT y, x FROM edges) e ON e.a = r.member)",
     "grp AS (SELECT DISTINCT term, member FROM reach WHERE term <> member)",
 ]
-# The rules of a dump, as in sources.pages, in the notation of this engine
-_CLEAN = [
-    ("<!--.*?-->", " ", "gs"), ("<ref[^>]*>.*?</ref>|<ref[^>]*/>", " ", "gs"), (r"\{\|.*?\|\}", " ", "gs"), *[(r"\{\{[^{}]*\}\}", " ", "g")] * 5,
-    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", "g"), (r"\[https?://\S+\s([^\]]*)\]", r"\1", "g"), (r"(?m)^=+\s*(.*?)\s*=+\s*$", r"\1", "g"),
-    ("<[^>]{0,200}>", " ", "g"), ("''{2,}", "", "g"),
-]
-_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
-def _cleaned(column: str) -> str:
-    t = column
-    for pattern, new, flags in _CLEAN:
-        t = f"regexp_replace({t}, '{pattern}', '{new}', '{flags}')"
-    for name, char in (("nbsp", " "), ("ldquo", "“"), ("rdquo", "”"), ("#8217", "’"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        t = f"replace({t}, '&{name};', '{char}')"
-    return f"trim(regexp_replace({t}, '{_SPACE}', ' ', 'g'))"
+# What is left of the constructed pages, written by hand.
+_CLEANED = [
+    "The mill of Orvane stands by the Tal.",
+    "It has two floors.",
+    "After the table.",
+    "Corn was ground until 1901.",
+    "The wheel It turned. Gear Of oak.",
+    "The mill near the bridge in MaySeen from the east.",
+    "See the survey and [https://mill.example/plain].",
+    "Rye < wheat &amp; barley — all ground here .",
+    "Open<!-- never closed",
+    "An article that explains how #redirect lines work in a wiki.",
+    "{{cut off|the mill and more",
+    "a }} b ]] c |} d e",
+    "shallow",
+    "3 < 4 and 5 > 2, so x = y = z",
+    "It is the miller's, not the bakers.",
+    "and end",
+    "a {{b c }} d",
+    "plain text with gaps",
+    "",
+]
+_PAGES = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(_CLEANED, 1))
+_WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ARTICLE = f"coalesce(ns, 0) = 0 AND redirect IS NULL AND regexp_replace(coalesce(text, ''), '{_WHITE}', '', 'g') <> ''"
+_TITLE = r"regexp_replace(coalesce(title, ''), '^\s+|\s+$', '', 'g')"
 
+# the window of a passage: the terms of the text, stopwords gone, numbered; a window ends at b
+_WINDOW = [
+    *_RUN,
+    f"ulists AS (SELECT doc_id, {tokens_of('text')} AS ts FROM docs WHERE doc_id IN (SELECT doc_id FROM run))",
+    "utok AS (SELECT doc_id, unnest(range(len(ts)))::INT AS p, unnest(ts) AS token FROM ulists)",
+    f"uterm AS (SELECT doc_id, term, (row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1)::INT AS i FROM utok JOIN stems USING (token) WHERE token NOT IN ({_STOP}))",
+    "shown AS (SELECT r.query, r.rank, r.doc_id, u.i, u.term FROM run r JOIN uterm u USING (doc_id) JOIN (SELECT DISTINCT query, term FROM q) d ON d.query = r.query AND d.term = u.term)",
+    "ends AS (SELECT a.query, a.doc_id, a.i AS b, count(DISTINCT c.term) AS kinds, count(*) AS hits FROM shown a JOIN shown c ON a.query = c.query AND a.doc_id = c.doc_id AND c.i BETWEEN a.i - 39 AND a.i GROUP BY ALL)",
+    "bestw AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY query, doc_id ORDER BY kinds DESC, hits DESC, b) = 1)",
+]
+_GAP = [
+    f"gl AS (SELECT {tokens_of('text')} AS ts FROM (SELECT DISTINCT coalesce(text, '') AS text FROM eval_items))",
+    f"gr AS (SELECT list_filter(list_transform(range(1, len(ts) - 1), lambda i: [ts[i], ts[i + 1], ts[i + 2]]), lambda r: r[2] IN ({_STOP}) AND r[1] NOT IN ({_STOP}) AND r[3] NOT IN ({_STOP})) AS rs FROM gl WHERE len(ts) > 2)",
+    "gq AS (SELECT DISTINCT rs[1][1] || ' ' || rs[1][2] || ' ' || rs[1][3] AS query, rs[1][1] AS x, rs[1][3] AS y FROM gr WHERE len(rs) > 0)",
+    "gt AS (SELECT query, a.term AS x, b.term AS y FROM gq JOIN stems a ON a.token = gq.x JOIN stems b ON b.token = gq.y)",
+]
+_SIGN = [
+    *_EVAL,
+    *_TFIDF,
+    "run2 AS (" + _top("tfidf") + ")",
+    "hits2 AS (SELECT run2.*, coalesce(grade > 0, false)::INT AS hit FROM run2 LEFT JOIN rels USING (query, doc_id))",
+    "ap2 AS (SELECT rel.query, coalesce(sum(CASE WHEN hit = 1 THEN so_far / rank END) / nullif(any_value(relevant), 0), 0)::DOUBLE AS v FROM rel LEFT JOIN (SELECT *, sum(hit) OVER (PARTITION BY query ORDER BY rank) AS so_far FROM hits2) USING (query) GROUP BY rel.query)",
+    "wl AS (SELECT coalesce(sum((round(a.v, 9) > round(b.v, 9))::INT), 0)::BIGINT AS w, coalesce(sum((round(a.v, 9) < round(b.v, 9))::INT), 0)::BIGINT AS l, coalesce(sum((round(a.v, 9) = round(b.v, 9))::INT), 0)::BIGINT AS e FROM ap a JOIN ap2 b USING (query))",
+]
 
 _LOG = """
 log AS (
@@ -214,7 +267,7 @@ ORACLES: dict[str, str] = {
     "term_stats": _with() + "SELECT term, field, df, cf, max_tf::INT AS max_tf FROM ts",
     "doc_lengths": _with() + "SELECT doc_id, length, title_length FROM len",
     "corpus_stats": _with() + "SELECT n AS documents, round(a, 6) AS average_length, round(t, 6) AS average_title, m AS shortest FROM n, avgs",
-    "derive_stopwords": _with() + "SELECT term, df FROM idf WHERE df >= 0.5 * (SELECT n FROM n)",
+    "derive_stopwords": _with() + "SELECT CASE field WHEN '' THEN term ELSE field || ':' || term END AS term, df FROM ts WHERE df >= 0.25 * (SELECT n FROM n)",
     "parse_queries": _with() + "SELECT query, length(query) > 1 AND query LIKE '\"%\"' AS is_phrase, off, term FROM q",
     "match_word": _with() + "SELECT DISTINCT query, doc_id FROM post JOIN q USING (term) WHERE field = '' AND query IN (SELECT query FROM q GROUP BY query HAVING count(*) = 1)",
     "match_any": _with(*_PHRASE) + "SELECT DISTINCT query, doc_id FROM post JOIN q USING (term) WHERE field = '' AND NOT (length(query) > 1 AND query LIKE '\"%\"') UNION SELECT query, doc_id FROM phrase WHERE length(query) > 1 AND query LIKE '\"%\"'",
@@ -246,8 +299,19 @@ ORACLES: dict[str, str] = {
     "directory_df": _with() + "SELECT term, count(*) AS df FROM post JOIN docs USING (doc_id) WHERE field = '' AND lang IS DISTINCT FROM 'fr' GROUP BY term",
     "upsert_latest": f"""WITH {_LOG}, cur AS (SELECT document_id AS doc_id, coalesce(title, '') AS title, coalesce(text, '') AS text FROM newest WHERE NOT deleted)
       SELECT * FROM cur UNION ALL SELECT doc_id, coalesce(title, ''), coalesce(text, '') FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM cur)""",
-    "dump_articles": f"""SELECT DISTINCT revision_id, article_id, trim(coalesce(title, '')) AS title, {_cleaned('text')} AS text FROM articles
-      WHERE coalesce(ns, 0) = 0 AND redirect IS NULL AND text IS NOT NULL AND NOT regexp_matches(text, '(?i)#redirect') AND {_cleaned('text')} <> ''""",
+    "dump_articles": f"SELECT DISTINCT revision_id, article_id, {_TITLE} AS title FROM articles WHERE {_ARTICLE}",
+    "dump_pages": f"SELECT article_id AS doc_id, {_TITLE} AS title FROM articles WHERE revision_id IS NOT NULL AND {_ARTICLE}",
+    "wiki_clean": f"SELECT page::INT AS page, text FROM (VALUES {_PAGES}) t(page, text)",
+    "corpus_pages": f"SELECT doc_id, {_TITLE} AS title, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL",
+    "judgement_file": f"WITH {_QRELS} SELECT query, doc_id, grade FROM rels WHERE query <> ''",
+    "synonym_file": _with(*_SYN).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT term, member FROM grp",
+    "ingest_stream": _with() + "SELECT term, field, df, cf, max_tf::INT AS max_tf FROM ts",
+    "index_text": _with() + "SELECT o.term, o.doc_id, count(*)::INT AS tf, any_value(l.length)::INT AS length, string_agg(position, ',' ORDER BY position) AS positions FROM occ o JOIN len l USING (doc_id) WHERE field = '' GROUP BY o.term, o.doc_id",
+    "snippet_window": _with(*_WINDOW) + "SELECT r.query, r.rank, r.doc_id, coalesce(greatest(b - 39, 0), 0)::INT AS first, coalesce(kinds, 0)::INT AS kinds, coalesce(hits, 0)::INT AS hits FROM run r LEFT JOIN bestw w ON w.query = r.query AND w.doc_id = r.doc_id",
+    "match_phrase_with_stopword_gap": _with(*_GAP) + "SELECT DISTINCT gt.query, a.doc_id FROM gt JOIN occ a ON a.term = gt.x AND a.field = '' JOIN occ b ON b.term = gt.y AND b.field = '' AND b.doc_id = a.doc_id AND b.position = a.position + 2",
+    "refused_queries": _with() + "SELECT *, CASE WHEN terms > 2 THEN 'terms' ELSE 'cost' END AS reason FROM (SELECT query, count(*) AS terms, (SELECT coalesce(sum(df), 0)::BIGINT FROM idf WHERE term IN (SELECT term FROM q b WHERE b.query = a.query)) AS cost FROM q a GROUP BY query) WHERE terms > 2 OR cost > 100",
+    "sign_test": _with(*_SIGN) + "SELECT w AS wins, l AS losses, e AS ties, CASE WHEN w + l = 0 THEN 1.0 ELSE round(least(1, 2 * list_sum(list_transform(range(0, least(w, l) + 1), lambda i: exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2))))), 6) END AS probability FROM wl",
+    "p4_replayed": f"WITH {_LOG} SELECT document_id, generation, seq FROM newest WHERE NOT deleted",
     "suggest": _with("missing AS (SELECT DISTINCT term FROM q WHERE strlen(term) = length(term) AND term NOT IN (SELECT term FROM idf) UNION SELECT DISTINCT 'x' || term || 'q' FROM q WHERE strlen(term) = length(term) AND length(term) > 3)",
         "near AS (SELECT m.term, i.term AS candidate, levenshtein(m.term, i.term) AS distance, df FROM missing m JOIN idf i ON abs(length(m.term) - length(i.term)) <= 2 AND strlen(i.term) = length(i.term) WHERE m.term NOT IN (SELECT term FROM idf))")
         + "SELECT term, candidate, distance::INT AS distance, df FROM near WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, df DESC, candidate) <= 3",

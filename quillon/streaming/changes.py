@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import shared_path
+from .ingest import read_stream
 
 # Spellings of the two kinds of record, trimmed and in upper case.
 ADD = ("ADD", "0")
@@ -57,11 +58,6 @@ def newest(records: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.max("last").alias("last"))
 
 
-def _is_file(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
-
-
 def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
     """The numbers of the finished folders ``<name>=<number>`` under a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -88,17 +84,11 @@ def apply_changes(spark: SparkSession, log: str, out: str, files_per_batch: int
     """Runs all of the log that is there, from where an earlier run with the same ``out`` ended,
     and returns ``out``. ``log`` is a Parquet file or folder. More than ``batches`` batches since the
     last base are compacted. The session's settings stay as they are."""
-    schema = spark.read.parquet(log).schema
     own = spark.newSession()
     own.conf.set(_STORE, _ROCKS)
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
-    reader = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if _is_file(spark, log):  # a stream reads folders
-        folder, _, name = log.rpartition("/")
-        stream = reader.option("pathGlobFilter", name).parquet(folder)
-    else:
-        stream = reader.parquet(log)
+    stream = read_stream(own, log, files_per_batch)
 
     def write(batch: DataFrame, number: int) -> None:
         # records that were there before this batch came came earlier

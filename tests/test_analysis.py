@@ -8,6 +8,7 @@ from quillon.functions.stem import measure, skeleton, stem
 from quillon.functions.words import pieces, words
 
 
+# The examples of Porter (1980).
 @pytest.mark.parametrize(
     ("word", "expected"),
     [
@@ -19,6 +20,7 @@ def test_measure(word, expected):
     assert measure(skeleton(word)) == expected
 
 
+# The examples of Porter (1980).
 @pytest.mark.parametrize(
     ("word", "expected"),
     [
@@ -35,6 +37,18 @@ def test_stem(word, expected):
     assert stem(word) == expected
 
 
+@pytest.mark.parametrize(
+    ("word", "expected"),
+    [
+        ("bridges", "bridg"), ("harvesting", "harvest"), ("shaky", "shaki"), ("quarries", "quarri"), ("willingness", "willing"), ("mapped", "map"),
+        ("glorious", "gloriou"), ("dusty", "dusti"), ("organizer", "organ"), ("gardening", "garden"), ("ferries", "ferri"), ("42nd", "42nd"),
+    ],
+)
+def test_stem_of_other_words(word, expected):
+    """Derived by hand from the published rules."""
+    assert stem(word) == expected
+
+
 def test_stopwords_leave_gaps_and_go_before_stemming():
     assert analyze_positioned("the department of computer science") == [(1, "depart"), (3, "comput"), (4, "scienc")]
     assert analyze("Cafés running") == ["cafés", "run"]

@@ -2,12 +2,17 @@ import bz2
 import gzip
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.functions.analysis import analyze
+from quillon.operators.components import components
 from quillon.operators.metrics import MISSING, Histogram, LruCache, MetricError, Registry, correlated, timed_query
-from quillon.sources.pages import clean_wikitext, read_dump, read_pages, write_pages
-from quillon.sources.small import JudgementFormatError, SynonymFormatError, parse_judgements, parse_synonyms, synonym_table
+from quillon.sources.pages import read_dump, read_pages, write_pages
+from quillon.sources.small import JudgementFormatError, SynonymFormatError, merged, parse_judgements, parse_synonyms, synonym_table
+from quillon.sources.synthetic import zipf_corpus
+from quillon.sources.wikitext import clean_wikitext, plain_text
 
 PAGE = "<page>\n <title>Inverted index</title>\n <ns>0</ns>\n <id>42</id>\n <revision><id>99</id>\n <text xml:space=\"preserve\">An '''inverted''' [[a|index]] &amp;lt; {{x{{y}}}} maps.</text></revision>\n</page>"
 OTHERS = "<page><title>R</title><ns>0</ns><id>43</id><redirect title='x' /><text>#REDIRECT [[x]]</text></page><page><title>Talk</title><ns>1</ns><id>44</id><text>t</text></page><page><id>45</id><text>{{only}}</text></page>"
@@ -41,6 +46,31 @@ def test_dump(spark, tmp_path, kind):
     assert [tuple(r) for r in rows] == [(42, "Inverted index", "An inverted index < maps.")]
 
 
+def test_a_page_that_writes_of_redirects_is_kept(spark, tmp_path):
+    path = tmp_path / "d.xml"
+    path.write_text(
+        "<page><title>Wiki</title><id>7</id><text>An article that explains how #redirect lines work in a wiki.</text></page>"
+        "<page><title>R</title><id>8</id><redirect title='x'/><text>Body</text></page><page><title>N</title><id>9</id><ns> 0 </ns><text>&lt;redirect /&gt; is a tag</text></page>"
+        "<page><title>E</title><id>10</id><text/></page><page><title>X</title><id>a</id><text>no number</text></page>"
+    )
+    assert {r["doc_id"] for r in read_dump(spark, str(path)).collect()} == {7, 9}
+
+
+def test_wikitext_of_any_depth():
+    for opening, inner, closing in (("{{", "x|", "}}"), ("{|", " a ", "|}"), ("<ref>", "n", "</ref>")):
+        assert plain_text("kept " + (opening + inner) * 300 + closing * 300 + " end") == "kept end"
+    assert plain_text("[[a|" * 50 + "label" + "]]" * 50) == "label"
+    assert plain_text(None) == "" and plain_text(" \x85 ") == ""
+    # a text of nothing but signs takes time in proportion to its length
+    for sign in ("{{", "[[", "]]", "<!--", "{|", "[http://x ", "<ref>", "|"):
+        plain_text(sign * 50_000)
+
+
+@given(st.text(alphabet="ab{}[]|<>!-=' \n", max_size=80))
+def test_wikitext_ends_and_only_loses_text(text):
+    assert sum(map(plain_text(text).count, "ab")) <= sum(map(text.count, "ab"))
+
+
 def test_wikitext(spark):
     text = "== Head ==\nA<!-- c --><ref name=x>r</ref> b<ref/> {| t |} [[T|label]] [http://x.y site] ''i'' &amp; <br> end"
     row = spark.createDataFrame([(text,)], "t string").select(clean_wikitext(F.col("t")).alias("c")).first()
@@ -63,8 +93,36 @@ def test_synonyms(spark):
     pairs = spark.createDataFrame([("Car", "automobile"), ("car", "vehicle"), ("", "x"), (None, "y")], "term string, member string")
     rows = {tuple(r) for r in synonym_table(pairs).collect()}
     assert (analyze("car")[0], analyze("vehicle")[0]) in rows and (analyze("automobile")[0], analyze("vehicle")[0]) in rows
-    with pytest.raises(ValueError):
-        synonym_table(pairs, most=1)
+    assert {tuple(r) for r in synonym_table(pairs, most=1).collect()} == rows
+
+
+def test_synonyms_beyond_the_driver(spark):
+    """A long chain and many small groups, closed in exchanges, against the closure on the driver."""
+    chain = [(f"link{i}", f"link{i + 1}") for i in range(30)]
+    others = [(f"w{i}", f"v{i % 7}") for i in range(40)]
+    pairs = spark.createDataFrame([*chain, *others, ("two words", "w1"), ("The", "w2")], "term string, member string")
+    expected = {(t, m) for t, group in merged([(analyze(a)[0], analyze(b)[0]) for a, b in chain + others]).items() for m in group if m != t}
+    assert {tuple(r) for r in synonym_table(pairs, most=10).collect()} == expected
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (4, 4), (None, 5), (3, 2)], "v long, u long")
+    assert {tuple(r) for r in components(edges).collect()} == {(2, 1), (3, 1), (9, 8)}
+    path = spark.createDataFrame([(i + 1, i) for i in range(64)], "v long, u long")
+    assert {r["root"] for r in components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(path, rounds=1)
+    assert components(path.where("false")).count() == 0
+
+
+def test_zipf(spark):
+    rows = zipf_corpus(spark, 200, words=100, vocabulary=1000, spread=0.5)
+    assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in zipf_corpus(spark, 200, words=100, vocabulary=1000, spread=0.5).repartition(3).collect()}
+    words = [w for r in rows.collect() for w in r["text"].split()]
+    first, tenth = words.count("w1"), sum(words.count(f"w{i}") for i in range(10, 20)) / 10
+    assert 6 < first / tenth < 22
+    sizes = [len(r["text"].split()) for r in rows.collect()]
+    assert min(sizes) >= 50 and max(sizes) <= 150 and max(sizes) - min(sizes) > 60
 
 
 def test_metrics():

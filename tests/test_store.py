@@ -1,13 +1,19 @@
 import random
+import shutil
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.cli import index_corpus, search
-from quillon.operators.index import build_index, documents
-from quillon.operators.match import parsed
+from quillon.operators.engine import Searcher
+from quillon.operators.index import StaleIndex, build_index, documents
+from quillon.operators.match import QueryTooExpensive, parsed
+from quillon.operators.metrics import Registry
 from quillon.operators.present import cut_short, folded, passage_lines
 from quillon.operators.rank import Ranker
-from quillon.operators.store import AnalyzerMismatch, Manifest, ManifestFormatError, Segment, SegmentStore, select_merge, text_export, tier_of
+from quillon.plans.tables import one_machine, shared_dir
+from quillon.operators.store import AnalyzerMismatch, IndexWriter, Manifest, ManifestFormatError, Segment, SegmentCorrupt, SegmentFormatError, SegmentStore, select_merge, text_export, text_import, tier_of
 
 
 def frame(spark, rows):
@@ -59,6 +65,85 @@ def test_a_segment_no_manifest_names_is_no_part(spark, tmp_path):
     assert {s.name for s in again.manifest.segments} == {"segment-1", "segment-3"}
 
 
+def test_verify(spark, tmp_path):
+    store = SegmentStore(spark, str(tmp_path / "v"))
+    store.upsert(frame(spark, [(1, "", "ash elm"), (2, "", "fir")]), merge=False)
+    store.upsert(frame(spark, [(2, "", "oak")]), merge=False)
+    store.verify()
+    name = store.manifest.segments[-1].name
+    path = str(tmp_path / "v" / name / "postings")
+    rows = spark.read.parquet(path)
+    other = spark.createDataFrame(rows.collect(), rows.schema).withColumn("tf", F.col("tf") + 1)
+    other.write.mode("overwrite").parquet(path)
+    with pytest.raises(SegmentCorrupt, match=name):
+        store.verify()
+    other.drop("length").write.mode("overwrite").parquet(path)
+    with pytest.raises(SegmentFormatError, match="other columns"):
+        store.verify()
+    shutil.rmtree(path)
+    with pytest.raises(SegmentFormatError, match="has no postings"):
+        store.verify()
+
+
+def test_writer(spark, tmp_path):
+    store = SegmentStore(spark, str(tmp_path / "w"))
+    with IndexWriter(store, capacity=3) as writer:
+        writer.add(1, None, "ash")
+        writer.add(2, "t", "elm")
+        writer.delete(1)
+        assert store.manifest.segments == ()
+        writer.add(3, "t", "fir")  # the third document: flushed
+        assert {r["doc_id"] for r in store.table("docs").collect()} == {2, 3}
+        writer.delete(3)
+    assert {r["doc_id"] for r in store.table("docs").collect()} == {2}
+    with pytest.raises(ValueError, match="closed"):
+        writer.add(4, "", "")
+
+
+def test_text_round_trip(spark):
+    index = build_index(documents(frame(spark, [(1, "", "ash elm ash"), (70_000, "x", "ash"), (3, "", "")])))
+    back = text_import(text_export(index.postings)).select("term", "doc_id", "tf", "length", "positions")
+    expected = index.postings.where("field = ''").select("term", "doc_id", "tf", "length", "positions")
+    assert sorted(map(str, back.collect())) == sorted(map(str, expected.collect()))
+    assert text_export(index.postings).where("value LIKE 'ash|%'").count() == 2
+
+
+def test_searcher(spark, tmp_path):
+    store, registry = SegmentStore(spark, str(tmp_path / "q")), Registry()
+    store.upsert(frame(spark, [(1, "one", "ash elm"), (2, "two", "elm elm"), (3, "", "fir")]))
+    searcher = Searcher(store, "bm25", registry=registry)
+    value = lambda name: registry.counter(name).value
+    found = searcher.search("elm")
+    assert [r.doc_id for r in found] == [2, 1] and found[0].passage == "elm elm" and found[0].highlights == ((0, 3), (4, 7))
+    assert searcher.search("elm") == found
+    assert (value("result_cache_hits_total"), value("result_cache_misses_total"), value("documents_scored_total")) == (1, 1, 2)
+    assert [r.doc_id for r in searcher.search("elm", permit=F.col("doc_id") == 1)] == [1]
+    assert searcher.search("nothing") == [] and value("query_zero_results_total") == 1
+    with pytest.raises(QueryTooExpensive):
+        searcher.search("elm ash fir", most_terms=2)
+    assert value("query_errors_total") == 1 and registry.gauge("segments_open").value == 1
+    SegmentStore(spark, str(tmp_path / "q")).upsert(frame(spark, [(2, "two", "oak")]))
+    with pytest.raises(StaleIndex):
+        searcher.search("elm")
+    searcher.reopen()
+    assert [r.doc_id for r in searcher.search("elm")] == [1]
+
+
+def test_the_shared_folder_of_a_cluster(monkeypatch):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    def session(master):
+        context = SimpleNamespace(master=master, getConf=lambda: Conf(), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+        return SimpleNamespace(sparkContext=context, conf=Conf())
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    assert one_machine(session("local[4]")) and one_machine(session("local"))
+
+
 def test_manifest():
     m = Manifest(3, 5, segments=(Segment("segment-1", 4, 1, "t"),))
     assert Manifest.load(m.dump()) == m
