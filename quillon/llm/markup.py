@@ -1,7 +1,9 @@
 """From HTML, Markdown, wiki and LaTeX markup to blocks of text.
 
 ``parse`` reads one text, in whatever mixture of the four, into blocks (tag, text) and counts the
-pieces of markup it met. Tags are h1 to h6, p, li, tr, pre, math and quote. ``render`` writes
+pieces of markup it met. Tags are h1 to h6, p, li, tr, pre, math and quote; an item's tag also has its
+depth and, in a numbered list, its number (li2, li1n3), that of code its language (pre-python);
+``kind`` is the tag without these. ``render`` writes
 blocks as clean text in which headings, lists, code, formulas, tables and quotations can still be
 told apart. Signs used as plain characters (comparisons, money, paths, identifiers, note numbers,
 names of languages) are left alone and not counted.
@@ -56,7 +58,9 @@ _CUT_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)(?:(?:\s+[a-zA-Z][\w:-]*(?:\s*=
 _CHARACTER = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});?")
 _CUT_NAMES = ("&nbsp", "&amp", "&lt", "&gt", "&quot", "&ldquo", "&rdquo", "&mdash", "&ndash", "&hellip")
 
-_FENCE = re.compile(r"^(```+|~~~+)[^\n`]*\n(.*?)(?:^\1[`~]*[ \t]*$|(?=\n\n\n)|\Z)", re.S | re.M)
+_LANGUAGE = re.compile(r"^[ \t]*\{?\.?([A-Za-z][\w+#.-]*)")
+_LANGUAGE_NAMED = re.compile(r"\blang(?:uage)?\s*=\s*[\"']?([A-Za-z][\w+#.-]*)")
+_FENCE = re.compile(r"^(```+|~~~+)([^\n`]*)\n(.*?)(?:^\1[`~]*[ \t]*$|(?=\n\n\n)|\Z)", re.S | re.M)
 _DISPLAY = re.compile(r"\$\$(?=\S)([^$]+?)\$\$|\\\[(.+?)\\\]|\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)(\*?)\}(.*?)(?:\\end\{\3\4\}|\Z)", re.S)
 _INLINE_MATH = re.compile(r"\\\((.+?)\\\)|(?<![\w\\$])\$(?=[^\s$])([^$\n]*[\\_^{=][^$\n]*?)(?<=\S)\$(?![\w$])", re.S)
 _VERB_ENV = re.compile(r"\\begin\{(verbatim|lstlisting|minted|alltt)\*?\}(?:\[[^\]]*\])?(?:\{[^{}]*\})?\n?(.*?)(?:\\end\{\1\*?\}|(?=\n\n\n)|\Z)", re.S)
@@ -64,11 +68,11 @@ _INLINE_CODE = re.compile(r"(?<![`\\])(`)(?!`)([^`\n]+(?:\n[^`\n]+)?)`(?!`)|(?<!
 
 _REDIRECT_LINE = re.compile(rf"^[ \t]*#[ \t]*{_REDIRECT}\b[ \t]*:?", re.I | re.M)
 _LANG = re.compile(r"\{\{\s*(?:lang|transl|nowrap|small)\s*\|(?:[^{}|]*\|)*([^{}|]*)\}\}", re.I)
-_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
+_BRACES = re.compile(r"\{+|\}+")
 _CUT_TEMPLATE = re.compile(r"\{\{\s*[\w#][^{}\n]*(?:\n[|][^{}\n]*)*\Z|^\}\}[ \t]*$|\{\{\s*[\w#][^{}\n]*(?=\n\n)", re.M)
 _WIKI_TABLE = re.compile(r"^:*\{\|.*?(?:^\|\}|(?=\n\n)|\Z)", re.S | re.M)
 _SILENT_LINK = re.compile(rf"\[\[\s*:?{_SILENT}\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", re.I)
-_LINK = re.compile(r"\[\[([^\[\]|]*)(?:\|([^\[\]]*))?\]\]")
+_BRACKETS = re.compile(r"\[+|\]+|\|")
 _CUT_LINK = re.compile(r"\[\[(?=[^\s\[\]])")
 _OUTER_LINK = re.compile(r"\[((?:https?|ftp):)?//[^\s\[\]]+[ \t\n]?([^\[\]]*)\]")
 _QUOTES = re.compile(r"(?<!')('{2,5})(?!')(?=\S)")
@@ -97,7 +101,9 @@ _SECTION = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragra
 _DROPPED = re.compile(r"[~ ]?\\(?:label|index|ref|eqref|pageref|cite[a-z]*|footnote|footnotetext|vspace|hspace|bibliography|bibliographystyle|usepackage|documentclass|includegraphics|input|include)\*?(?:\[[^\]\n]*\])*\{[^{}]*\}")
 _HREF = re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}")
 _URL = re.compile(r"\\url\{([^{}]*)\}")
-_WRAP = re.compile(r"(?<![\w:\\./])\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}")
+_COMMAND = re.compile(r"(?<![\w:\\./])\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{|[{}]")
+_ITEMS = re.compile(r"\\(begin|end)\{(itemize|enumerate|description)\*?\}(?:\[[^\]\n]*\])?|\\(item)(?![a-zA-Z])[ \t]*(?:\[[^\]\n]*\])?[ \t]*")
+_AMPERSANDS = re.compile(r"&(?:amp;|#0*38;|#[xX]0*26;)+(?=[a-zA-Z#])")
 _LONE = re.compile(rf"(?<![\w:\\./])\\{_BARE}(?![a-zA-Z])")
 _CUT_COMMAND = re.compile(r"(?<![\w:\\./])\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{")
 _ESCAPE = re.compile(r"(?<![\w:\\])\\([&%_#$])")
@@ -109,12 +115,25 @@ _MARK = re.compile("^\x01([a-z0-9]+)\x01(.*)$", re.S)
 _LEVEL = {"part": 1, "chapter": 1, "title": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 
 
+def kind(tag: str) -> str:
+    """A tag without depth, number or language."""
+    return "li" if tag[:2] == "li" else "pre" if tag[:3] == "pre" else tag
+
+
+def _code(words: str, attribute: bool = False) -> str:
+    """The tag of code whose opening sign has these words."""
+    m = (_LANGUAGE_NAMED if attribute else _LANGUAGE).search(words)
+    return f"pre-{m[1]}" if m else "pre"
+
+
 class _Reader:
     """State of one parse: what is set aside, and the pieces met."""
 
     def __init__(self) -> None:
         self.held: list[Block] = []
         self.pieces = 0
+        #: open lists: numbered or not, and how many items so far
+        self.lists: list[list] = []
 
     def hold(self, tag: str, text: str, apart: bool = True) -> str:
         self.pieces += 1
@@ -127,16 +146,76 @@ class _Reader:
         self.pieces += n
         return text
 
+    def nested(self, t: str, signs: re.Pattern) -> str:
+        """Templates (of braces) go, links (of brackets) become what stands after their first pipe,
+        or all they hold. One pass with a stack, so of any depth. A sign that is single or has no
+        partner stays, and with it what it stands in."""
+        label = signs is _BRACKETS
+        opening, closing = "[]" if label else "{}"
+        out: list[str] = []
+        stack: list[list] = []  # place of the run of opening signs, how many are left, first pipe
+        start = 0
+        for m in signs.finditer(t):
+            out.append(t[start : m.start()])
+            start, sign = m.end(), m[0]
+            left = len(sign)
+            if sign == "|":
+                out.append(sign)
+                if stack and stack[-1][2] is None:
+                    stack[-1][2] = len(out)
+                continue
+            if sign[0] == opening:
+                out.append(sign)
+                if left == 1:
+                    stack.clear()
+                else:
+                    stack.append([len(out) - 1, left, None])
+                continue
+            while left > 1 and stack:
+                at, count, pipe = frame = stack[-1]
+                take = 3 if not label and count == 3 and left > 2 else 2
+                out[at] = opening * (count - take)
+                if label:
+                    del out[at + 1 : pipe or at + 1]
+                else:
+                    del out[at + 1 :]
+                self.pieces += 1
+                left -= take
+                frame[1:] = [count - take, None]
+                if frame[1] == 0:
+                    stack.pop()
+                elif frame[1] == 1:
+                    stack.clear()
+            if left:
+                out.append(closing * left)
+                stack.clear()
+        out.append(t[start:])
+        return "".join(out)
+
+    def item(self) -> str:
+        """The mark of one more item of the innermost open list."""
+        if not self.lists:
+            return "\n\x01li\x01"
+        of = self.lists[-1]
+        of[1] += 1
+        return f"\n\x01li{len(self.lists)}{f'n{of[1]}' if of[0] else ''}\x01"
+
+    def list(self, opens: bool, numbered: bool) -> None:
+        if opens:
+            self.lists.append([numbered, 0])
+        elif self.lists:
+            self.lists.pop()
+
     # -- verbatim parts -------------------------------------------------
 
     def verbatim(self, t: str) -> str:
         if "<" in t:
-            t = _VERBATIM.sub(lambda m: self.hold("pre", html.unescape(re.sub(r"^<code[^<>]*>|</code\s*>\s*$", "", m[3].strip("\n"), flags=re.I))), t)
+            t = _VERBATIM.sub(lambda m: self.hold(_code(m[2], attribute=True), html.unescape(re.sub(r"^<code[^<>]*>|</code\s*>\s*$", "", m[3].strip("\n"), flags=re.I))), t)
             t = _MATH_TAG.sub(lambda m: self.hold("math", m[2].strip(), apart=self._alone(m)), t)
             t = _NOWIKI.sub(lambda m: self.hold("text", m[1] or "", apart=False), t)
             t = self.sub(_SCRIPT, " ", t)
         if "```" in t or "~~~" in t:
-            t = _FENCE.sub(lambda m: self.hold("pre", m[2].strip("\n")), t)
+            t = _FENCE.sub(lambda m: self.hold(_code(m[2]), m[3].strip("\n")), t)
         if "\\begin{" in t:
             t = _VERB_ENV.sub(lambda m: self.hold("pre", m[2].strip("\n")), t)
         if "$$" in t or "\\[" in t or "\\begin{" in t:
@@ -162,11 +241,15 @@ class _Reader:
         if name[0] == "h" and name[1:].isdigit():
             return "\n\n" if close else f"\n\n\x01{name}\x01"
         if name == "li" or name == "dt" or name == "dd":
-            return "\n" if close else "\n\x01li\x01"
+            return "\n" if close else self.item()
+        if name in ("ul", "ol", "dl"):
+            self.list(not close, name == "ol")
+            # a list within an item goes on from it
+            return "\n" if len(self.lists) > (0 if close else 1) else "\n\n"
         if name == "tr":
             return "\n" if close else "\n\x01tr\x01"
         if name in ("td", "th"):
-            return "\x04" if close else ""
+            return "" if close else "\x04"
         if name == "br":
             return "\n"
         if name == "blockquote":
@@ -225,21 +308,13 @@ class _Reader:
             t = self.sub(_REDIRECT_LINE, "", t)
         if "{{" in t or "}}" in t:
             t = self.sub(_LANG, r"\1", t)
-            for _ in range(12):
-                t, n = _TEMPLATE.subn("", t)
-                self.pieces += n
-                if not n:
-                    break
+            t = self.nested(t, _BRACES)
             t = self.sub(_CUT_TEMPLATE, "", t)
         if "{|" in t:
             t = _WIKI_TABLE.sub(self.wiki_table, t)
         if "[[" in t:
             t = self.sub(_SILENT_LINK, "", t)
-            for _ in range(4):
-                t, n = _LINK.subn(lambda m: m[2] if m[2] is not None else m[1], t)
-                self.pieces += n
-                if not n:
-                    break
+            t = self.nested(t, _BRACKETS)
             t = self.sub(_CUT_LINK, "", t)
         if "//" in t and "[" in t:
             t = self.sub(_OUTER_LINK, r"\2", t)
@@ -263,7 +338,34 @@ class _Reader:
             return "\n\n\x01quote\x01" if m[1] == "begin" else "\n\n"
         if name.startswith("tabular") or name in ("array", "longtable"):
             return "\n\n\x07" if m[1] == "begin" else "\x08\n\n"
-        return "\n\n" + (m[3] if name not in ("figure", "table", "thebibliography", "minipage") and m[1] == "begin" and False else "")
+        return "\n\n"
+
+    def listing(self, m: re.Match) -> str:
+        """An item, or an end of a list of LaTeX."""
+        self.pieces += 1
+        if m[3]:
+            return self.item()
+        self.list(m[1] == "begin", m[2] == "enumerate")
+        return "\n" if len(self.lists) > (1 if m[1] == "begin" else 0) else "\n\n"
+
+    def commands(self, t: str) -> str:
+        """Commands around a text without their signs, whatever their depth; braces of other use stay."""
+        out: list[str] = []
+        opened: list[int] = []  # where the sign of each open command or brace stands
+        start = 0
+        for m in _COMMAND.finditer(t):
+            out.append(t[start : m.start()])
+            start = m.end()
+            out.append(m[0])
+            if m[0] != "}":
+                opened.append(len(out) - 1)
+            elif opened and out[opened[-1]] != "{":
+                out[opened.pop()] = out[-1] = ""
+                self.pieces += 1
+            elif opened:
+                opened.pop()
+        out.append(t[start:])
+        return "".join(out)
 
     @staticmethod
     def tabular(m: re.Match) -> str:
@@ -279,16 +381,13 @@ class _Reader:
         t = self.sub(_DROPPED, "", t)
         t = self.sub(_HREF, r"\1", t)
         t = self.sub(_URL, r"\1", t)
+        if "\\item" in t:
+            self.lists.clear()
+            t = _ITEMS.sub(self.listing, t)
         t = _ENVIRONMENT.sub(self.environment, t)
         if "\x07" in t:
             t = re.sub("\x07([^\x07\x08]*)(?:\x08|\\Z)", self.tabular, t)
-        if "\\item" in t:
-            t = self.sub(re.compile(r"\\item(?![a-zA-Z])[ \t]*(?:\[([^\]\n]*)\])?[ \t]*"), "\n\x01li\x01", t)
-        for _ in range(4):
-            t, n = _WRAP.subn(r"\1", t)
-            self.pieces += n
-            if not n:
-                break
+        t = self.commands(t)
         t = self.sub(_CUT_COMMAND, "", t)
         t = self.sub(_ESCAPE, r"\1", t)
         return self.sub(_LONE, "", t)
@@ -357,13 +456,16 @@ class _Reader:
                 while tag != "tr" and i + 1 < n and rows[i + 1].strip() and rows[i + 1].strip()[0] not in "\x01\x02" and not _ITEM.match(rows[i + 1]):
                     i += 1
                     text += " " + rows[i].strip()
+                while tag == "tr" and i + 1 < n and rows[i + 1].lstrip().startswith("\x04"):
+                    i += 1
+                    text += rows[i].strip()
                 if tag == "tr":
                     text = " | ".join(c.strip() for c in text.strip("\x04").split("\x04"))
                 add(tag, text)
                 i += 1
                 continue
             m = re.fullmatch("\x02(\\d+)\x03", s)
-            if m and self.held[int(m[1])][0] in ("pre", "math"):
+            if m and kind(self.held[int(m[1])][0]) in ("pre", "math"):
                 add(*self.held[int(m[1])])
                 i += 1
                 continue
@@ -408,8 +510,8 @@ class _Reader:
                 run = self.items(rows, i)
                 if run and (len(run) > 1 or (first and s[0] not in ":-")):
                     self.pieces += len(run)
-                    for _, text in run:
-                        add("li", text)
+                    for (_, text), tag in zip(run, self.tags(rows[i : i + len(run)], run)):
+                        add(tag, text)
                     i += len(run)
                     continue
             prose.append(line.rstrip())
@@ -417,6 +519,31 @@ class _Reader:
         end()
         return blocks
 
+    @staticmethod
+    def tags(rows: list[str], run: list[tuple[str, str]]) -> list[str]:
+        """The tag of each item of a run, with its depth and number. Wiki items are as deep as they
+        have signs, others as their indentation says; a numbered one starts at its own number."""
+        found = []
+        indents: list[int] = []
+        counts: dict[int, int] = {}
+        for line, (mark, _) in zip(rows, run):
+            if mark == "1" or len(mark) == 1 and line[:1] in " \t":
+                indent = len(line) - len(line.lstrip())
+                while indents and indents[-1] > indent:
+                    indents.pop()
+                if not indents or indents[-1] < indent:
+                    indents.append(indent)
+                depth = len(indents)
+            else:
+                depth, indents = len(mark), [0]
+            counts = {d: c for d, c in counts.items() if d <= depth}
+            counts[depth] = counts.get(depth, 0) + 1
+            number = re.match(r"[ \t]*(\d+)", line)
+            if mark == "1" and number:
+                counts[depth] = int(number[1])
+            found.append(f"li{depth}" + (f"n{counts[depth]}" if mark == "1" or mark[-1] == "#" else ""))
+        return found
+
     @staticmethod
     def items(rows: list[str], i: int) -> list[tuple[str, str]]:
         """The run of list items that starts at line i."""
@@ -470,16 +597,15 @@ def parse(text: str | None) -> tuple[list[Block], int]:
     reader = _Reader()
     if "&" in text and _ESCAPED.search(text):
         reader.pieces += 1
-        for _ in range(3):
-            text = html.unescape(text)
-            if not _ESCAPED.search(text):
-                break
+        before = ""
+        while text != before and _ESCAPED.search(text):
+            before, text = text, html.unescape(_AMPERSANDS.sub("&", text))
     text = reader.verbatim(text)
     text = reader.wiki(reader.hypertext(text)) if "<" in text or "&" in text else reader.wiki(text)
     if "\\" in text or "%" in text:
         text = reader.latex(text)
     text = reader.markdown(text)
-    blocks = [(tag, body if tag in ("pre", "math") else reader.restore(body)) for tag, body in reader.lines(text)]
+    blocks = [(tag, body if kind(tag) in ("pre", "math") else reader.restore(body)) for tag, body in reader.lines(text)]
     return blocks, reader.pieces
 
 
@@ -490,10 +616,11 @@ def render(blocks: list[Block]) -> str:
     for tag, text in blocks:
         if tag[0] == "h" and tag[1:].isdigit():
             text = "#" * int(tag[1]) + " " + " ".join(text.split())
-        elif tag == "li":
-            text = "- " + " ".join(text.split())
-        elif tag == "pre":
-            text = "```\n" + text + "\n```"
+        elif tag[:2] == "li":
+            depth, _, number = tag[2:].partition("n")
+            text = "  " * (int(depth or 1) - 1) + (f"{number}. " if number else "- ") + " ".join(text.split())
+        elif tag[:3] == "pre":
+            text = "```" + tag[4:] + "\n" + text + "\n```"
         elif tag == "math":
             text = "$$" + text + "$$"
         elif tag == "quote":
@@ -501,7 +628,7 @@ def render(blocks: list[Block]) -> str:
         elif tag == "p":
             text = re.sub(r"[ \t]{2,}", " ", text)
         if out:
-            out.append("\n" if tag == last and tag in ("li", "tr") else "\n\n")
+            out.append("\n" if kind(tag) == last and last in ("li", "tr") else "\n\n")
         out.append(text)
-        last = tag
+        last = kind(tag)
     return "".join(out)

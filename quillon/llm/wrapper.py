@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.match import sized
 from ..plans.tables import keep
 from .arrow import parts, strings
-from .markup import Block, parse, render
+from .markup import Block, kind, parse, render
 from .oneform import one_form
 
 #: Pages aligned with each other at once.
@@ -56,6 +57,7 @@ def tree(tags: list[str], texts: list[int]) -> list[Node]:
     """The children of the root: blocks, with runs of items and rows under a node of their own."""
     found: list[Node] = []
     for tag, text in zip(tags, texts):
+        tag = kind(tag)
         over = _GROUPED.get(tag)
         if over:
             if not found or found[-1].tag != over:
@@ -145,7 +147,7 @@ def _induce(pages: pd.DataFrame) -> pd.DataFrame:
 
 
 def _hash(tag: str, text: str) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(f"{tag} {' '.join(text.split())}")).view(np.int64))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(f"{kind(tag)} {' '.join(text.split())}")).view(np.int64))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,8 @@ _READ = "kind string, id long, host string, pieces int, tags string, texts array
 
 
 def templates(read: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``host, hash``: the constant free paragraphs of each host that has any."""
+    """``host, hash, pages``: the constant free paragraphs of each host that has any, and how many
+    different pages hold them."""
     pages = read.where("tags != ''").select("host", "page", "tags", "hashes").dropDuplicates(["host", "page"])
     held = pages.groupBy("host").count().withColumn("blocks", F.ceil(F.col("count") / block))
     salted = pages.join(held, "host").withColumn("block", F.pmod(F.xxhash64("page"), F.col("blocks")))
@@ -193,7 +196,7 @@ def templates(read: DataFrame, block: int = BLOCK) -> DataFrame:
     spread = salted.select("host", "block", "tags", "hashes").repartition(width, "host", "block")
     found = spread.groupBy("host", "block").applyInPandas(_induce, "host string, hash long, pages long, constant boolean, several boolean")
     total = found.groupBy("host", "hash").agg(F.sum("pages").alias("pages"), F.max("constant").alias("constant"), F.max("several").alias("several"))
-    return total.where((F.col("pages") >= LEAST_PAGES) & (F.col("constant") | ~F.col("several"))).select("host", "hash")
+    return total.where((F.col("pages") >= LEAST_PAGES) & (F.col("constant") | ~F.col("several"))).select("host", "hash", "pages")
 
 
 def _templated(read: DataFrame, fixed: DataFrame, limit: int) -> DataFrame:
@@ -202,7 +205,7 @@ def _templated(read: DataFrame, fixed: DataFrame, limit: int) -> DataFrame:
         of_host = fixed.groupBy("host").agg(F.collect_set("hash").alias("template"))
         return read.join(F.broadcast(of_host), "host", "left").withColumn("template", F.array_intersect("hashes", "template"))
     pages = read.select("host", "page", "hashes").dropDuplicates(["host", "page"]).select("host", "page", F.explode("hashes").alias("hash"))
-    of_page = pages.join(fixed, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
+    of_page = pages.join(fixed.select("host", "hash"), ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("template"))
     return read.join(of_page, ["host", "page"], "left")
 
 
@@ -222,6 +225,10 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _source(records: DataFrame) -> DataFrame:
+    return records.select(F.col("kind").cast("string").alias("kind"), F.col("id").cast("long").alias("id"), F.coalesce(F.col("host"), F.lit("")).alias("host"), F.col("text"))
+
+
 def clean_markup(records: DataFrame, block: int = BLOCK, limit: int = BROADCAST_NODES) -> DataFrame:
     """``record_kind, record_id, host, pieces, template_blocks, clean`` for each row of ``records``
     (``kind, id, host, text``).
@@ -230,8 +237,18 @@ def clean_markup(records: DataFrame, block: int = BLOCK, limit: int = BROADCAST_
     paragraphs left out. A null or empty text is clean as the empty string, with 0 pieces; a null
     host is a host of its own; null ids stay null; repeated rows stay repeated; no rows give none.
     """
-    src = records.select(F.col("kind").cast("string").alias("kind"), F.col("id").cast("long").alias("id"), F.coalesce(F.col("host"), F.lit("")).alias("host"), F.col("text"))
-    read = keep(src.mapInArrow(_read, _READ))
+    read = keep(_source(records).mapInArrow(_read, _READ))
     fixed = keep(templates(read, block))
     rows = _templated(read, fixed, limit).drop("page")
     return rows.mapInArrow(_write, "record_kind string, record_id long, host string, pieces int, template_blocks int, clean string")
+
+
+def template_nodes(records: DataFrame, block: int = BLOCK, limit: int = BROADCAST_NODES) -> DataFrame:
+    """``host, text, pages``: what was induced as template of each host of ``records`` (``kind, id,
+    host, text``), and on how many different pages it stands. White space of a text is collapsed;
+    hosts without a template have no row."""
+    read = keep(_source(records).mapInArrow(_read, _READ))
+    fixed = sized(keep(templates(read, block)), limit)
+    nodes = read.select("host", F.explode(F.arrays_zip("hashes", "texts")).alias("n")).select("host", F.col("n.hashes").alias("hash"), F.col("n.texts").alias("text"))
+    held = nodes.join(fixed, ["host", "hash"]).groupBy("host", "hash", "pages").agg(F.min("text").alias("text"))
+    return held.select("host", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), "pages")
