@@ -2,8 +2,8 @@
 
 Features of length, vocabulary, syntax and cohesion of the prose of every document feed
 gradient-boosted regression trees, trained on a bounded sample of rated documents. Predictions for
-sources held out of training are calibrated to the raters' scale by an isotonic map and give the
-error that is reported.
+sources held out of training are calibrated to the raters' scale by an isotonic map. The error that
+is reported is that on sources held out of both, training and calibration.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from ..functions.words import words
 from ..plans.tables import keep
 from .arrow import parts, strings
 from .boosting import Boosted, isotonic
-from .markup import parse
+from .markup import kind, parse
 from .oneform import one_form
 
 #: Rated documents used for training at most, chosen by a hash of their id.
@@ -134,7 +134,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in strings(part, "text"):
                 form = one_form(text)
                 blocks, pieces = parse(form)
-                n, sentence, term, values = features([x for t, x in blocks if t in ("p", "li", "quote")])
+                n, sentence, term, values = features([x for t, x in blocks if kind(t) in ("p", "li", "quote")])
                 rows.append((pieces, n, sentence, term, values))
             pieces, n, sentence, term, values = zip(*rows) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays(
@@ -165,7 +165,8 @@ class Grader:
     model: Boosted | None
     knots: tuple[np.ndarray, np.ndarray]
     mean: float
-    folds: list[tuple[int, int, float, float]]  # fold, documents, mean absolute error, correlation
+    #: fold, documents, mean absolute error, that of the mean grade, correlation; only if judged
+    folds: list[tuple[int, int, float, float, float]]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if self.model is None:
@@ -179,30 +180,38 @@ def _fold(source: str) -> int:
     return xxhash.xxh3_64_intdigest(source) % FOLDS
 
 
-def train(x: np.ndarray, y: np.ndarray, sources: list[str]) -> Grader:
-    """Trees on all rows; calibration and error from trees that never saw a row's source. Under 50
-    rated documents the grade is their mean, without any the middle of the scale."""
+def _calibrated(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> tuple[Boosted, tuple[np.ndarray, np.ndarray]]:
+    """Trees on all rows, and the map from what trees say of sources they never saw to the grades."""
+    held = np.full(len(y), y.mean())
+    for k in range(FOLDS):
+        out = folds == k
+        if out.any() and (~out).sum() >= 20:
+            held[out] = Boosted().fit(x[~out], y[~out]).predict(x[out])
+    return Boosted().fit(x, y), isotonic(held, y)
+
+
+def train(x: np.ndarray, y: np.ndarray, sources: list[str], judged: bool = False) -> Grader:
+    """Trees on all rows, calibrated by what trees that never saw a row's source said of it. With
+    ``judged`` also the error on sources that neither trees nor calibration saw: for each fold of
+    sources both are made anew from the others. Under 50 rated documents the grade is their mean,
+    without any the middle of the scale."""
     mean = float(y.mean()) if len(y) else sum(LEVELS) / 2
     if len(y) < 50:
         return Grader(None, (np.zeros(1), np.zeros(1)), mean, [])
     folds = np.array([_fold(s) for s in sources])
-    held = np.full(len(y), mean)
     errors = []
-    for k in range(FOLDS):
-        out = folds == k
-        if out.any() and (~out).sum() >= 20:
-            held[out] = Boosted().fit(x[~out], y[~out]).predict(x[out])
-    knots = isotonic(held, y)
-    for k in range(FOLDS):
+    for k in range(FOLDS if judged else 0):
         out = folds == k
-        if out.any():
-            graded = np.interp(held[out], *knots)
-            together = float(np.corrcoef(graded, y[out])[0, 1]) if graded.std() > 0 and y[out].std() > 0 else 0.0
-            errors.append((k, int(out.sum()), float(np.abs(graded - y[out]).mean()), together))
-    return Grader(Boosted().fit(x, y), knots, mean, errors)
+        if not out.any() or (~out).sum() < 50:
+            continue
+        model, knots = _calibrated(x[~out], y[~out], folds[~out])
+        graded = np.clip(np.interp(model.predict(x[out]), *knots), *LEVELS)
+        together = float(np.corrcoef(graded, y[out])[0, 1]) if graded.std() > 0 and y[out].std() > 0 else 0.0
+        errors.append((k, int(out.sum()), float(np.abs(graded - y[out]).mean()), float(np.abs(y[~out].mean() - y[out]).mean()), together))
+    return Grader(*_calibrated(x, y, folds), mean, errors)
 
 
-def grader(profiled: DataFrame, labels: DataFrame, key: str, level: str = "level", rater: str = "rater") -> Grader:
+def grader(profiled: DataFrame, labels: DataFrame, key: str, level: str = "level", rater: str = "rater", judged: bool = False) -> Grader:
     """Trains on the mean level of each rated document, repeated ratings of a rater counting once.
     Null levels and levels off the scale are no ratings."""
     rated = labels.select(F.col(key).cast("long").alias("id"), F.col(level).cast("double").alias("level"), F.coalesce(F.col(rater).cast("string"), F.lit("")).alias("rater"))
@@ -211,10 +220,10 @@ def grader(profiled: DataFrame, labels: DataFrame, key: str, level: str = "level
     sample = profiled.where("terms > 0").select("id", "source", "features").join(rated, "id")
     rows = sample.orderBy(F.xxhash64("id"), "id").limit(TRAINING).collect()
     x = np.array([r["features"] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
-    return train(x, np.array([r["level"] for r in rows], dtype=float), [r["source"] for r in rows])
+    return train(x, np.array([r["level"] for r in rows], dtype=float), [r["source"] for r in rows], judged)
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[DataFrame, Grader]:
+def reading_levels(docs: DataFrame, labels: DataFrame, key: str, text: str, judged: bool = False) -> tuple[DataFrame, Grader]:
     """``<key>, level, lang, source, pieces, terms, sentence_terms, term_chars`` of every document,
     and the grader.
 
@@ -223,7 +232,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, key: str, text: str) -> t
     rows.
     """
     profiled = keep(profiles(docs, key, text))
-    known = grader(profiled, labels, key)
+    known = grader(profiled, labels, key, judged=judged)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

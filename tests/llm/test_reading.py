@@ -46,6 +46,19 @@ def test_boosting_learns_and_calibration_rises():
     assert flat.predict(np.zeros((3, 2))).tolist() == pytest.approx([1, 1, 1])
 
 
+def test_the_error_is_of_sources_nothing_was_fitted_to():
+    """Grades that follow the source alone cannot be told for a source held out: no better than the mean."""
+    rng = np.random.default_rng(5)
+    sources = [f"s{i % 40}" for i in range(1200)]
+    x = rng.normal(size=(1200, 4))
+    y = np.array([1.0 + hash_ % 5 for hash_ in (int(s[1:]) * 7 for s in sources)]) + 0.01 * x[:, 0]
+    judged = train(x, y, sources, judged=True)
+    assert len(judged.folds) == 4
+    assert all(error > 0.9 * mean for _, _, error, mean, _ in judged.folds)
+    told = train(np.c_[x, y], y, sources, judged=True)
+    assert all(error < 0.2 * mean and together > 0.95 for _, _, error, mean, together in told.folds)
+
+
 def test_few_labels():
     assert train(np.zeros((0, 3)), np.zeros(0), [])(np.zeros((2, 3))).tolist() == [3.0, 3.0]
     assert train(np.zeros((2, 3)), np.array([4.0, 5.0]), ["a", "b"])(np.zeros((1, 3))).tolist() == [4.5]
@@ -68,7 +81,9 @@ def test_levels_and_bands(spark):
     rows = {r["doc_id"]: r for r in levels.collect()}
     assert len(rows) == len(docs) and rows[203]["level"] is None and rows[202]["pieces"] > 0
     assert rows[1]["level"] < 2 and rows[0]["level"] > 4
-    assert sum(n for _, n, _, _ in known.folds) == 120 and all(e < 0.5 for _, _, e, _ in known.folds)
+    assert known.folds == []
+    _, judged = reading_levels(df, of, "doc_id", "text", judged=True)
+    assert sum(n for _, n, *_ in judged.folds) == 120 and all(e < 0.5 < mean for _, _, e, mean, _ in judged.folds)
     found = {r["doc_id"]: r["band"] for r in bands(levels, "doc_id").collect()}
     assert found == {i: "easy" if i % 2 else "hard" for i in range(120)}
     none, _ = reading_levels(df.limit(0), of, "doc_id", "text")
