@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import PIECE
-from ..plans.tables import cut
+from ..plans.tables import cut, keep
 from .arrow import parts, strings
 from .frequency import FLUSH, text_words
 
@@ -45,6 +45,12 @@ class Weighting:
         n, df = F.lit(float(records)), documents.cast("double")
         return F.log(n / df) if self.classic else F.log(1 + (n - df + 0.5) / (df + 0.5))
 
+    def document_weight(self, records: int, documents: int) -> float:
+        return math.log(records / documents) if self.classic else math.log(1 + (records - documents + 0.5) / (documents + 0.5))
+
+    def norm(self, average: float, length: int) -> float:
+        return 1 - self.b + self.b * length / (average or 1.0)
+
     def score(self, records: int, average: float, tf: Column, length: Column, documents: Column) -> Column:
         tf = tf.cast("double")
         if self.k1 is None:
@@ -123,7 +129,10 @@ def collection(df: DataFrame, columns: list[str], least: int = 1) -> Collection:
     return Collection(terms, records, tokens / records if records else 0.0, {r["term"]: r["documents"] for r in rows})
 
 
-def _postings(key: str, columns: list[str], frequent, which: str):
+def _postings(key: str, columns: list[str], frequent):
+    """Every term of every record, with its document frequency if it is frequent: texts are read once
+    for the terms weighted in place and for those that travel."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = frequent.value
         for batch in batches:
@@ -131,14 +140,11 @@ def _postings(key: str, columns: list[str], frequent, which: str):
                 ids, terms, tfs, lengths, dfs = [], [], [], [], []
                 for values in zip(part.column(key).to_pylist(), *(strings(part, c) for c in columns)):
                     counts, length = _counted(" ".join(values[1:]))
-                    for term, tf in counts.items():
-                        df = known.get(term)
-                        if (df is None) == (which == "light"):
-                            ids.append(values[0])
-                            terms.append(term)
-                            tfs.append(tf)
-                            lengths.append(length)
-                            dfs.append(df)
+                    ids.extend([values[0]] * len(counts))
+                    terms.extend(counts)
+                    tfs.extend(counts.values())
+                    lengths.extend([length] * len(counts))
+                    dfs.extend(map(known.get, counts))
                 yield pa.RecordBatch.from_pydict(
                     {
                         key: pa.array(ids, pa.int64()),
@@ -162,53 +168,56 @@ def term_scores(df: DataFrame, key: str, columns: list[str], weighting: Weightin
     spark = df.sparkSession
     frequent = spark.sparkContext.broadcast(known.frequent)
     src = df.select(F.col(key).cast("long").alias(key), *columns)
-    schema = f"`{key}` long, term string, tf int, length long, documents long"
-    heavy = src.mapInArrow(_postings(key, columns, frequent, "heavy"), schema)
-    light = src.mapInArrow(_postings(key, columns, frequent, "light"), schema).drop("documents").join(known.documents, "term")
-    rows = heavy.unionByName(light)
+    rows = keep(src.mapInArrow(_postings(key, columns, frequent), f"`{key}` long, term string, tf int, length long, documents long"))
+    light = rows.where("documents IS NULL").drop("documents").join(known.documents, "term")
+    rows = rows.where("documents IS NOT NULL").unionByName(light)
     score = weighting.score(known.records, known.average, F.col("tf"), F.col("length"), F.col("documents"))
     return rows.select(key, "term", "tf", "documents", score.alias("score"))
 
 
-def _candidates(key: str, columns: list[str], frequent, records: int, least: int):
+def _candidates(key: str, columns: list[str], frequent, weighting: Weighting, records: int, average: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = frequent.value
-        weights = {t: math.log(records / n) for t, n in known.items()}
-        highest = math.log(max(records, 1) / least) + 1e-9 if records else 0.0
+        weights = {t: weighting.document_weight(records, n) for t, n in known.items()}
+        highest = weighting.document_weight(records, min(least, records)) + 1e-9 if records else 0.0
+        k1 = weighting.k1
         for batch in batches:
             for part in parts(batch, *columns):
-                ids, terms, tfs, dfs = [], [], [], []
+                ids, terms, tfs, lengths, dfs = [], [], [], [], []
                 for values in zip(part.column(key).to_pylist(), *(strings(part, c) for c in columns)):
-                    counts, _ = _counted(" ".join(values[1:]))
+                    counts, length = _counted(" ".join(values[1:]))
                     best, top, light = -1.0, None, []
+                    if k1 is not None:
+                        damp = k1 * weighting.norm(average, length)
                     for term, tf in counts.items():
                         w = weights.get(term)
                         if w is None:
                             light.append((term, tf))
                         else:
-                            w = round(tf * w, 6)
+                            w = round(tf * w if k1 is None else w * tf * (k1 + 1) / (tf + damp), 6)
                             if w > best or (w == best and term < top):
                                 best, top = w, term
                     if top is not None:
                         ids.append(values[0])
                         terms.append(top)
                         tfs.append(counts[top])
+                        lengths.append(length)
                         dfs.append(known[top])
                     for term, tf in light:
                         # no term of ``least`` records or more weighs more than this
-                        if tf * highest >= best - 1e-6:
+                        if (tf if k1 is None else tf * (k1 + 1) / (tf + damp)) * highest >= best - 1e-6:
                             ids.append(values[0])
                             terms.append(term)
                             tfs.append(tf)
+                            lengths.append(length)
                             dfs.append(None)
-                yield pa.RecordBatch.from_pydict({key: pa.array(ids, pa.int64()), "term": pa.array(terms, pa.string()), "tf": pa.array(tfs, pa.int32()), "known": pa.array(dfs, pa.int64())})
+                yield pa.RecordBatch.from_pydict({key: pa.array(ids, pa.int64()), "term": pa.array(terms, pa.string()), "tf": pa.array(tfs, pa.int32()), "length": pa.array(lengths, pa.int64()), "known": pa.array(dfs, pa.int64())})
 
     return run
 
 
-def most_distinctive(df: DataFrame, key: str, columns: list[str], least: int = 2) -> DataFrame:
-    """``<key>, term, weight``: for each record the term of greatest tf-idf weight (TF_IDF, rounded
-    to 6 decimals) among the terms at least ``least`` records hold; on a tie the smaller term.
+def most_distinctive(df: DataFrame, key: str, columns: list[str], least: int = 2, weighting: Weighting = BM25) -> DataFrame:
+    """``<key>, term, weight``: for each record the term of greatest weight (rounded to 6 decimals) among the terms at least ``least`` records hold; on a tie the smaller term.
     Records without such a term are left out, rows with a null key too. Rows that repeat a key are
     records of their own in the counts and share one result row.
 
@@ -220,11 +229,11 @@ def most_distinctive(df: DataFrame, key: str, columns: list[str], least: int = 2
         return df.sparkSession.createDataFrame([], f"`{key}` long, term string, weight double")
     frequent = df.sparkSession.sparkContext.broadcast(known.frequent)
     src = df.select(F.col(key).cast("long").alias(key), *columns).where(F.col(key).isNotNull())
-    rows = src.mapInArrow(_candidates(key, columns, frequent, known.records, least), f"`{key}` long, term string, tf int, known long")
+    rows = src.mapInArrow(_candidates(key, columns, frequent, weighting, known.records, known.average, least), f"`{key}` long, term string, tf int, length long, known long")
     # a row whose weight is known looks for no document frequency: it gets a key of its own
     look = F.when(F.col("known").isNull(), F.col("term")).otherwise(F.concat(F.lit("\x00"), F.col(key).cast("string")))
     table = known.documents.select(F.col("term").alias("look"), "documents")
     found = rows.withColumn("look", look).join(table, "look", "left").withColumn("documents", F.coalesce("known", "documents")).where("documents IS NOT NULL")
-    weight = F.round(TF_IDF.score(known.records, known.average, F.col("tf"), F.lit(0), F.col("documents")), 6)
+    weight = F.round(weighting.score(known.records, known.average, F.col("tf"), F.col("length"), F.col("documents")), 6)
     best = found.select(key, "term", weight.alias("weight")).groupBy(key).agg(F.min(F.struct(-F.col("weight"), "term")).alias("best"))
     return best.select(key, F.col("best.term").alias("term"), (-F.col("best.col1")).alias("weight"))

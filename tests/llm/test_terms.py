@@ -8,7 +8,7 @@ import pytest
 
 from quillon.functions.words import words
 from quillon.llm import distinctive, frequency
-from quillon.llm.distinctive import BM25, most_distinctive, term_scores
+from quillon.llm.distinctive import BM25, TF_IDF, most_distinctive, term_scores
 from quillon.llm.frequency import heavy_terms, marked_terms, term_counts
 
 SCHEMA = "doc_id long, title string, text string, term string, documents long"
@@ -101,10 +101,11 @@ def test_scores(spark, monkeypatch, broadcast):
             expected[doc, t] = idf * tf * (BM25.k1 + 1) / (tf + BM25.k1 * (1 - BM25.b + BM25.b * counts.total() / average))
     found = {(r["doc_id"], r["term"]): r["score"] for r in term_scores(df, "doc_id", ["title", "text"]).collect()}
     assert found == pytest.approx(expected)
-    best = {}
-    for doc, counts in tfs.items():
-        ranked = sorted((-round(tf * math.log(n / holding[t]), 6), t) for t, tf in counts.items() if holding[t] >= 2)
-        if ranked:
-            best[doc] = ranked[0][1]
-    top = {r["doc_id"]: r["term"] for r in most_distinctive(df, "doc_id", ["title", "text"]).collect()}
-    assert top == best
+    for weighting, weight in ((TF_IDF, lambda d, t: tfs[d][t] * math.log(n / holding[t])), (BM25, lambda d, t: expected[d, t])):
+        best = {}
+        for doc, counts in tfs.items():
+            ranked = sorted((-round(weight(doc, t), 6), t) for t in counts if holding[t] >= 2)
+            if ranked:
+                best[doc] = ranked[0][1]
+        top = {r["doc_id"]: r["term"] for r in most_distinctive(df, "doc_id", ["title", "text"], weighting=weighting).collect()}
+        assert top == best
