@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.words import words
+from ..operators.components import components
+from ..operators.match import sized
 from ..plans.tables import cut
 from .arrow import parts, strings
 from .hashing import TermHasher, mix, shingle_hashes
@@ -31,6 +32,8 @@ from .oneform import one_form
 
 #: Candidate records up to this number are broadcast as ids (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
+#: A left key of more records goes by the pair of keys at once.
+HOT_LEFT = 50_000
 
 
 @dataclass(frozen=True)
@@ -156,15 +159,23 @@ def near_duplicates(df: DataFrame, key: str, columns: list[str], likeness: Liken
     return Near(members, _verified(src, columns, classes.select("class", "same"), pairs, likeness), short)
 
 
-def _candidates(classes: DataFrame, likeness: Likeness) -> DataFrame:
+def _candidates(classes: DataFrame, likeness: Likeness, hot: int = HOT_LEFT) -> DataFrame:
+    """``a, b``, a < b: the classes that share a pair of keys and whose sizes allow the similarity.
+
+    Records meet by their left key, and only pairs of keys that two of them share travel on. A left
+    key of more than ``hot`` records, as boilerplate makes them, does not meet in one task: its
+    records go by the pair of keys at once. Which way a key takes changes nothing in the result.
+    """
     met = classes.select(F.explode("lefts").alias("left"), "class", "size", "rights")
-    met = met.withColumn("n", F.count("*").over(Window.partitionBy("left"))).where("n > 1")
+    heavy = sized(cut(met.groupBy("left").count().where(F.col("count") > hot).select("left")), BROADCAST_IDS)
+    pair = ["left", "j", "right"]
+    alone = lambda rows: rows.select("left", "class", "size", F.posexplode("rights").alias("j", "right"))
+    several = lambda rows, *by: rows.withColumn("n", F.count("*").over(Window.partitionBy(*by))).where("n > 1")
     # the partitioning by the left key also holds for the pair of keys
-    keys = met.select("left", "class", "size", F.posexplode("rights").alias("j", "right"))
-    keys = keys.withColumn("n", F.count("*").over(Window.partitionBy("left", "j", "right"))).where("n > 1")
+    keys = several(alone(several(met.join(heavy, "left", "left_anti"), "left").drop("n")), *pair).drop("n")
+    keys = keys.select(*pair, "class", "size").unionByName(alone(met.join(heavy, "left", "left_semi")).select(*pair, "class", "size"))
     # both sides alike but for their names, so that one exchange serves both
-    side = keys.select("left", "j", "right", "class", "size")
-    both = side.toDF("left", "j", "right", "a", "size_a").join(side.toDF("left", "j", "right", "b", "size_b"), ["left", "j", "right"]).where("a < b")
+    both = keys.toDF(*pair, "a", "size_a").join(keys.toDF(*pair, "b", "size_b"), pair).where("a < b")
     # similarity is at most the ratio of the sizes
     near = both.where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(likeness.threshold - 1e-9))
     return near.select("a", "b").distinct()
@@ -173,8 +184,7 @@ def _candidates(classes: DataFrame, likeness: Likeness) -> DataFrame:
 def _verified(src: DataFrame, columns: list[str], classes: DataFrame, pairs: DataFrame, likeness: Likeness) -> DataFrame:
     pairs = cut(pairs)
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = src.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    texts = src.join(sized(ids, BROADCAST_IDS), "id", "left_semi")
     sets = texts.mapInArrow(_sets(columns, likeness), "class long, same binary, shingles array<long>")
     # of a key's contents the one its class has, once
     sets = cut(sets.join(classes, ["class", "same"], "left_semi").dropDuplicates(["class", "same"]).drop("same"))
@@ -201,28 +211,10 @@ def near_pairs(near: Near, key: str) -> DataFrame:
 
 def groups(near: Near, key: str, rounds: int | None = None) -> DataFrame:
     """``<key>, group, links``: each record's group (smallest id of its connected classes) and the
-    number of links of its class. Every record has a row; short ones have no links.
-
-    Alternating large-star and small-star steps on the links, each kept in the shared folder, until
-    nothing changes; stars halve the distances, so the rounds grow as their logarithm. More than
-    ``rounds`` of them, if given, raise.
-    """
+    number of links of its class. Every record has a row; short ones have no links. More than
+    ``rounds`` rounds of joining, if given, raise."""
     links = cut(near.links.select("a", "b"))
-    edges = cut(links.select(F.col("b").alias("v"), F.col("a").alias("u")).distinct())
-    for n in count(1):
-        before = edges
-        both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        lowest = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v"))
-        large = both.join(lowest, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
-        down = large.select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u"))
-        least = down.groupBy("v").agg(F.min("u").alias("m"))
-        small = down.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u").union(least.select("v", F.col("m").alias("u"))).distinct()
-        edges = cut(small)
-        if edges.count() == before.count() and not edges.exceptAll(before).take(1):
-            break
-        if n == rounds:
-            raise RuntimeError(f"groups still change after {rounds} rounds")
-    roots = edges.groupBy("v").agg(F.min("u").alias("root"))
+    roots = components(links.select(F.col("b").alias("v"), F.col("a").alias("u")), rounds)
     ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").count()
     rows = near.members.union(near.short).join(roots.withColumnRenamed("v", "class"), "class", "left").join(ends, "class", "left")
     return rows.select(F.col("id").alias(key), F.coalesce("root", "class").alias("group"), F.coalesce("count", F.lit(0)).cast("long").alias("links"))
