@@ -132,3 +132,21 @@ def pack(sizes: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     placed = numbered.join(F.broadcast(moved), ["class", "bin"], "left")
     name = F.when(F.col("into").isNull(), F.concat_ws("-", "class", "bin")).otherwise(F.concat(F.lit("rest-"), F.col("into")))
     return placed.select(key, "part", "offset", "tokens", "class", name.alias("container"))
+
+
+def fill(sizes: DataFrame, packed: DataFrame, key: str, capacity: int = CAPACITY, least: float = 0.85) -> DataFrame:
+    """One row: ``documents`` (rows of ``sizes``), ``overfull`` containers, ``split_needlessly`` (keys
+    with a second part that would fit alone), ``unequal`` (keys whose parts are not all they hold, or
+    that are in no container), and whether the containers are ``well_filled``: all but the unavoidable
+    last one together at ``least`` of what they hold. An empty table is well filled."""
+    bins = packed.groupBy("container").agg(F.sum("tokens").alias("used"))
+    whole = bins.agg(F.coalesce(F.sum((F.col("used") > capacity).cast("long")), F.lit(0)).alias("overfull"), F.coalesce(F.sum("used"), F.lit(0)).alias("used"), F.count("*").alias("containers"))
+    given = sizes.groupBy(key).agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"), F.count("*").alias("rows"))
+    placed = packed.groupBy(key).agg(F.sum("tokens").alias("placed"), F.max("part").alias("last"))
+    keys = given.join(placed, given[key].eqNullSafe(placed[key]), "left").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("documents"),
+        F.coalesce(F.sum(((F.col("last") > 0) & (F.col("longest") <= capacity)).cast("long")), F.lit(0)).alias("split_needlessly"),
+        F.coalesce(F.sum((~F.col("placed").eqNullSafe(F.col("tokens"))).cast("long")), F.lit(0)).alias("unequal"),
+    )
+    filled = F.col("used") >= least * capacity * F.greatest(F.col("containers") - 1, F.lit(0))
+    return keys.crossJoin(F.broadcast(whole)).select("documents", "overfull", "split_needlessly", "unequal", filled.alias("well_filled"))

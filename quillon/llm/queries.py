@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import spread, table
-from .distinctive import most_distinctive, term_scores
+from ..plans.tables import cut, spread, table
+from .distinctive import TF_IDF, most_distinctive, term_scores
 from .frequency import marked_terms
 from .leak import leaked
 from .oneform import same_looking_pairs, unify
 from .neardup import Likeness, groups, near_duplicates, near_pairs
-from .packing import pack, token_sizes
+from .packing import fill, pack, token_sizes
 from .reading import bands, reading_levels
-from .wrapper import clean_markup
+from .wrapper import clean_markup, template_nodes
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -39,6 +39,11 @@ def p2_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_markup(_records(spark, sf_dir))
 
 
+def p2_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What wrapper induction found constant, by host."""
+    return template_nodes(_records(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_clean_text(spark, sf_dir).where("pieces > 0").select("record_kind", "record_id").distinct()
 
@@ -49,7 +54,14 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return most_distinctive(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"]).select("doc_id", "term")
+    """By the statement's weight: the operator's without saturation and length normalisation."""
+    return most_distinctive(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"], weighting=TF_IDF).select("doc_id", "term")
+
+
+def p3_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by relevance weighting with saturation and length normalisation."""
+    best = most_distinctive(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"])
+    return best.withColumnRenamed("weight", "score")
 
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +81,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(near_duplicates(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"]), "doc_id")
+    return groups(near_duplicates(_documents(spark, sf_dir, "title", "text"), "doc_id", ["title", "text"]), "doc_id").withColumnRenamed("group", "group_id")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_sizes(_documents(spark, sf_dir, "text"), "doc_id", "text"), "doc_id")
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the containers: what must be 0, and whether little is unused."""
+    sizes = cut(token_sizes(_documents(spark, sf_dir, "text"), "doc_id", "text"))
+    return fill(sizes, pack(sizes, "doc_id"), "doc_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(token_sizes(_documents(spark, sf_dir, "text"), "doc_id", "text"), "doc_id")
     # only a text that exceeds a container has a second part
@@ -86,8 +104,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(_documents(spark, sf_dir, "text"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
-def _levels(spark: SparkSession, sf_dir: str):
-    return reading_levels(_documents(spark, sf_dir, "text", "lang", "source"), table(spark, sf_dir, "reading_labels"), "doc_id", "text")
+def _levels(spark: SparkSession, sf_dir: str, judged: bool = False):
+    return reading_levels(_documents(spark, sf_dir, "text", "lang", "source"), table(spark, sf_dir, "reading_labels"), "doc_id", "text", judged)
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +114,9 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error of the calibrated grades on sources held out of training."""
-    _, known = _levels(spark, sf_dir)
-    return spark.createDataFrame(known.folds, "fold int, documents int, mean_error double, correlation double")
+    """Error of the grades on sources held out of training and calibration, and that of the mean."""
+    _, known = _levels(spark, sf_dir, judged=True)
+    return spark.createDataFrame(known.folds, "fold int, documents int, mean_error double, error_of_mean double, correlation double")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,14 +129,17 @@ QUERIES = {
     "p1_term_counts": p1_term_counts,
     "p2_found": p2_found,
     "p2_clean_text": p2_clean_text,
+    "p2_template": p2_template,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
+    "p3_best": p3_best,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_levels": p9_levels,
