@@ -4,13 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.functions.words import words
 from quillon.llm import neardup
 from quillon.llm.leak import leaked
 from quillon.llm.neardup import Likeness, groups, near_duplicates, near_pairs
 from quillon.llm.oneform import one_form
-from quillon.llm.packing import encoding, default_vocabulary, pack, token_sizes, _count_tokens
+from quillon.llm.packing import encoding, default_vocabulary, fill, pack, token_sizes, _count_tokens
 from quillon.llm import packing
 
 LIKE = Likeness(shingle=3, threshold=0.7, least_terms=10)
@@ -131,14 +132,55 @@ def test_leaks(spark, monkeypatch):
                 expected.add((d, i))
     df = spark.createDataFrame(docs, "doc_id long, text string, owner int").repartition(3)
     of = spark.createDataFrame(items, "item_id long, text string, shingle string")
-    for limit in (200_000, 0):
-        found = [tuple(r) for r in leaked(df, "doc_id", "text", of, "item_id", "text", limit=limit).select("doc_id", "item_id").collect()]
+    for bits in (26, 12, 6):
+        found = [tuple(r) for r in leaked(df, "doc_id", "text", of, "item_id", "text", bits=bits).select("doc_id", "item_id").collect()]
         assert len(found) == len(set(found)) and set(found) == expected
     assert len(expected) > 5
     assert leaked(df, "doc_id", "text", of.limit(0), "item_id", "text").count() == 0
     assert leaked(df.limit(0), "doc_id", "text", of, "item_id", "text").count() == 0
 
 
+def test_very_many_windows(spark):
+    """300,000 windows of one long item, and documents of them, against plain loops."""
+    long = [f"t{(i * 7919) % 300_011}" for i in range(300_011)]
+    rng = random.Random(1)
+    docs, expected = [], set()
+    for d in range(200):
+        a, n = rng.randrange(300_000), rng.choice([5, 11, 12, 40])
+        docs.append((d, f"x{d} " + " ".join(long[a : a + n]) + f" y{d}"))
+        if min(n, 300_011 - a) >= 12:
+            expected.add((d, 1))
+    found = leaked(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([(1, " ".join(long)), (2, "a b c")], "item_id long, text string"), "item_id", "text")
+    assert {tuple(r) for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("hot", [50_000, 100, 0])
+def test_a_hot_left_key(spark, hot):
+    """10,000 records of one left key; only those that share a pair of keys are candidates."""
+    n = 10_000
+    rows = [(i, 50 if i % 3 else 80, [7, i + 100], [i // 2, i + 20_000 if i < 10_000 else 0]) for i in range(n)]
+    expected = set()
+    for i in range(0, n, 2):
+        if min(rows[i][1], rows[i + 1][1]) >= 0.8 * max(rows[i][1], rows[i + 1][1]):
+            expected.add((i, i + 1))
+    df = spark.createDataFrame(rows, "class long, size int, lefts array<long>, rights array<int>")
+    found = [tuple(r) for r in neardup._candidates(df, Likeness(), hot).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_fill(spark):
+    sizes = spark.createDataFrame([(i, n) for i, n in enumerate([10, 4096, 9000, 0, 2048, 2048, 1365, 1365, 1365, 5000])], "doc_id long, tokens long")
+    packed = pack(sizes, "doc_id")
+    good = fill(sizes, packed, "doc_id", least=0.5).first()
+    assert good[:] == (10, 0, 0, 0, True)
+    bad = fill(sizes, packed.withColumn("container", F.lit("one")).where("doc_id != 3"), "doc_id").first()
+    assert (bad["overfull"], bad["unequal"]) == (1, 1)
+    split = packed.withColumn("part", F.col("part") + F.when(F.col("doc_id") == 0, 1).otherwise(0))
+    assert fill(sizes, split, "doc_id").first()["split_needlessly"] == 1
+    assert not fill(sizes, packed.withColumn("container", F.concat("container", F.lit("-"), "doc_id", F.lit("-"), "part")), "doc_id", least=0.9).first()["well_filled"]
+    assert fill(sizes.limit(0), packed.limit(0), "doc_id").first()[:] == (0, 0, 0, 0, True)
+
+
 @pytest.mark.parametrize("bucket", [7, 200_000])
 def test_packing(spark, monkeypatch, bucket):
     monkeypatch.setattr(packing, "BUCKET_ITEMS", bucket)
