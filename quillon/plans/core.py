@@ -206,20 +206,6 @@ def _asked(terms: DataFrame) -> DataFrame:
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For query terms the index lacks and for misspelt ones; ASCII terms only, as its SQL measures
-    bytes. ``suggest_all`` is over all terms."""
-    q = _queries(spark, sf_dir).select("term").distinct().where(F.length("term") == F.octet_length("term"))
-    return suggest_ascii(index_of(spark, sf_dir), _asked(q))
-
-
-def suggest_ascii(i: SearchIndex, unknown: DataFrame) -> DataFrame:
-    from dataclasses import replace
-
-    plain = replace(i, term_stats=i.term_stats.where(F.length("term") == F.octet_length("term")))
-    return suggest(plain, unknown)
-
-
-def suggest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For all query terms the index lacks and for misspelt ones, of the whole vocabulary."""
     return suggest(index_of(spark, sf_dir), _asked(_queries(spark, sf_dir).select("term").distinct()))
 
@@ -412,7 +398,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ndcg": _measure(ev.ndcg),
     "map_summary": map_summary,
     "suggest": suggestions,
-    "suggest_all": suggest_all,
     "snippet": snippet,
     "snippet_window": snippet_window,
     "match_phrase_with_stopword_gap": gap_phrases,

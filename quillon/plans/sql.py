@@ -312,11 +312,8 @@ ORACLES: dict[str, str] = {
     "refused_queries": _with() + "SELECT *, CASE WHEN terms > 2 THEN 'terms' ELSE 'cost' END AS reason FROM (SELECT query, count(*) AS terms, (SELECT coalesce(sum(df), 0)::BIGINT FROM idf WHERE term IN (SELECT term FROM q b WHERE b.query = a.query)) AS cost FROM q a GROUP BY query) WHERE terms > 2 OR cost > 100",
     "sign_test": _with(*_SIGN) + "SELECT w AS wins, l AS losses, e AS ties, CASE WHEN w + l = 0 THEN 1.0 ELSE round(least(1, 2 * list_sum(list_transform(range(0, least(w, l) + 1), lambda i: exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2))))), 6) END AS probability FROM wl",
     "p4_replayed": f"WITH {_LOG} SELECT document_id, generation, seq FROM newest WHERE NOT deleted",
-    "suggest": _with("missing AS (SELECT DISTINCT term FROM q WHERE strlen(term) = length(term) AND term NOT IN (SELECT term FROM idf) UNION SELECT DISTINCT 'x' || term || 'q' FROM q WHERE strlen(term) = length(term) AND length(term) > 3)",
-        "near AS (SELECT m.term, i.term AS candidate, levenshtein(m.term, i.term) AS distance, df FROM missing m JOIN idf i ON abs(length(m.term) - length(i.term)) <= 2 AND strlen(i.term) = length(i.term) WHERE m.term NOT IN (SELECT term FROM idf))")
-        + "SELECT term, candidate, distance::INT AS distance, df FROM near WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, df DESC, candidate) <= 3",
     # each pair's other letters become signs that no term has, so that bytes are code points
-    "suggest_all": _with("asked AS (SELECT DISTINCT term FROM q UNION SELECT DISTINCT 'x' || term || 'q' FROM q WHERE length(term) > 3)",
+    "suggest": _with("asked AS (SELECT DISTINCT term FROM q UNION SELECT DISTINCT 'x' || term || 'q' FROM q WHERE length(term) > 3)",
         "pairs AS (SELECT m.term, i.term AS candidate, df, array_to_string(list_distinct(regexp_extract_all(m.term || i.term, '[^\\x00-\\x7F]')), '') AS other FROM asked m JOIN idf i ON abs(length(m.term) - length(i.term)) <= 2 WHERE m.term NOT IN (SELECT term FROM idf))",
         "near AS (SELECT term, candidate, levenshtein(translate(term, other, left(signs, length(other))), translate(candidate, other, left(signs, length(other)))) AS distance, df FROM pairs, (SELECT string_agg(chr(n::INT), '' ORDER BY n) AS signs FROM range(1, 97) r(n) WHERE n NOT BETWEEN 48 AND 57))")
         + "SELECT term, candidate, distance::INT AS distance, df FROM near WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, df DESC, candidate) <= 3",

@@ -51,7 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
-    return "/".join([shared_dir(spark).rstrip("/"), *parts])
+    """A path in the part of the shared folder that belongs to this application."""
+    return "/".join([shared_dir(spark).rstrip("/"), f"quillon-{spark.sparkContext.applicationId}", *parts])
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all this application kept in the shared folder: kept tables, stores, logs. Call it
+    when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_path(path: str) -> str:

@@ -2,6 +2,11 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
+
+# the time of an example is that of the machine, not of what is tested
+settings.register_profile("quillon", deadline=None)
+settings.load_profile("quillon")
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)

@@ -75,6 +75,6 @@ def test_suggestions_of_all_terms(spark, tmp_path):
     for t in terms - set(known):
         near = sorted((edit_distance(t, c), -n, c) for c, n in known.items())
         expected |= {(t, c, d, -n) for d, n, c in [x for x in near if x[0] <= 2][:3]}
-    found = [tuple(r) for r in QUERIES["suggest_all"](spark, str(tmp_path)).select("term", "candidate", "distance", "df").collect()]
+    found = [tuple(r) for r in QUERIES["suggest"](spark, str(tmp_path)).select("term", "candidate", "distance", "df").collect()]
     assert len(found) == len(set(found)) and set(found) == expected
     assert {("xgaugq", "gaugе"), ("науке", "наука"), ("cafè", "café")} <= {(t, c) for t, c, _, _ in found}

@@ -1,3 +1,4 @@
+import pathlib
 import random
 import shutil
 from types import SimpleNamespace
@@ -12,7 +13,7 @@ from quillon.operators.match import QueryTooExpensive, parsed
 from quillon.operators.metrics import Registry
 from quillon.operators.present import cut_short, folded, passage_lines
 from quillon.operators.rank import Ranker
-from quillon.plans.tables import one_machine, shared_dir
+from quillon.plans.tables import drop_kept, keep, one_machine, shared_dir
 from quillon.operators.store import AnalyzerMismatch, IndexWriter, Manifest, ManifestFormatError, Segment, SegmentCorrupt, SegmentFormatError, SegmentStore, select_merge, text_export, text_import, tier_of
 
 
@@ -129,7 +130,16 @@ def test_searcher(spark, tmp_path):
     assert [r.doc_id for r in searcher.search("elm")] == [1]
 
 
-def test_the_shared_folder_of_a_cluster(monkeypatch):
+def test_kept_tables_go(spark):
+    df = keep(spark.range(3))
+    assert df.count() == 3
+    folder = pathlib.Path(df.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+    assert folder.exists()
+    drop_kept(df)
+    assert not folder.exists()
+
+
+def test_the_shared_folder_of_a_cluster():
     class Conf(dict):
         def get(self, key, default=None):
             return default
