@@ -12,6 +12,7 @@ Python string, for operators that need the form of a text while they work on it.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -73,13 +74,16 @@ TABLE: dict[str, str] = (
     _accented() | _compatible() | LOOK_ALIKE | dict.fromkeys(INVISIBLE, "") | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-")
 )
 _TRANSLATE = str.maketrans(TABLE)
+_SOME = re.compile("[" + "".join(map(re.escape, TABLE)) + "]")
 
 
 def one_form(text: str | None) -> str:
     """The one form of a string; null counts as the empty string."""
     if not text or text.isascii():
         return text or ""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(_TRANSLATE))
+    composed = unicodedata.normalize("NFC", text)
+    # most texts of other letters hold none of the table
+    return unicodedata.normalize("NFC", composed.translate(_TRANSLATE)) if _SOME.search(composed) else composed
 
 
 def _quoted(text: str) -> str:
